@@ -1,0 +1,9 @@
+"""Registered queries over the test tables and their SQL twins."""
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    from importlib import import_module
+
+    for name in ("preparation",):
+        import_module(f"catalogue.{name}")

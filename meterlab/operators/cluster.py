@@ -95,7 +95,7 @@ def pairs_within(vectors: DataFrame, id_col: str, radius: float, dims: int = 3,
                        F.explode(_around("__cell", dims)).alias("__cell"),
                        F.pmod(F.xxhash64(id_col), F.lit(salts)).alias("__salt"))
     right = base.select(F.col(id_col).alias("j"), F.col("point").alias("__q"), "__cell",
-                        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint").alias("__salt"))
+                        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("__salt"))
     near = left.join(right, ["__cell", "__salt"]).where(F.col("i") < F.col("j"))
     return near.select("i", "j", F.sqrt(_squared("__p", "__q")).alias("distance")).where(F.col("distance") <= radius)
 

@@ -49,7 +49,7 @@ def attach_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], salts:
     Spark's own size check replaces the shuffle by a broadcast.
     """
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
-    copies = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    copies = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return null_safe_join(salted, copies, [*keys, "__salt"], "left").drop("__salt")
 
 
