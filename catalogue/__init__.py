@@ -5,5 +5,5 @@ def load() -> None:
     """Import every module that registers queries."""
     from importlib import import_module
 
-    for name in ("preparation",):
+    for name in ("preparation", "stationary", "profiles", "dependence"):
         import_module(f"catalogue.{name}")

@@ -25,11 +25,14 @@ METHODS = ("pearson", "spearman", "kendall")
 
 # --- typical week --------------------------------------------------------------
 
-def typical_week(df: DataFrame, key: Sequence[str], ts: str, x: str, y: str, scale: bool = True) -> DataFrame:
+def typical_week(df: DataFrame, key: Sequence[str], ts: str, x: str, y: str, scale: bool = True,
+                 digits: int | None = 9) -> DataFrame:
     """Mean of x and y per key and hour of the week, at most 168 rows per key.
 
     ``pos`` numbers the cells that exist (Monday 00:00 first); a missing cell
     shortens the series, as positions rather than slots define the lags.
+    ``digits`` rounds the scaled values, so that means which are equal up to the
+    order of summation are ties for the rank correlations in every run.
     """
     key = list(key)
     cells = (df.withColumns({"day_of_week": F.weekday(ts), "hour": F.hour(ts)})
@@ -37,7 +40,8 @@ def typical_week(df: DataFrame, key: Sequence[str], ts: str, x: str, y: str, sca
     w = Window.partitionBy(*key)
     cells = cells.withColumn("pos", F.row_number().over(w.orderBy("day_of_week", "hour")).cast("bigint") - 1)
     if scale:
-        cells = cells.withColumns({x: zscore_over(x, w), y: zscore_over(y, w)})
+        scaled = {c: zscore_over(c, w) for c in (x, y)}
+        cells = cells.withColumns({c: z if digits is None else F.round(z, digits) for c, z in scaled.items()})
     return cells.select(*key, "day_of_week", "hour", "pos", x, y)
 
 
@@ -167,7 +171,8 @@ def _gcc_udf(k: int, method: str):
                for x, y in zip(xs, ys, strict=True)]
         return pd.DataFrame({"gcc": [None if np.isnan(g) else g for g, _ in got], "valid": [v for _, v in got]})
 
-    return F.pandas_udf(score, schema)
+    # Marked so that a later filter on the result neither repeats nor moves the evaluation.
+    return F.pandas_udf(score, schema).asNondeterministic()
 
 
 def series_arrays(df: DataFrame, key: Sequence[str], pos: str, x: str, y: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = 256
+STRIDE = 16
 SKETCH_ACCURACY = 10000
 
 
@@ -53,13 +54,10 @@ def attach_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], salts:
     return null_safe_join(salted, copies, [*keys, "__salt"], "left").drop("__salt")
 
 
-def _cell_of(value: Column, edges: Column, low: int, high: int) -> Column:
-    """Number of edges that are <= value, as a balanced CASE tree (codegen)."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(value < edges[mid], _cell_of(value, edges, low, mid)).otherwise(
-        _cell_of(value, edges, mid + 1, high))
+def _cell_of(value: Column, edges: Column, coarse: Column) -> Column:
+    """Number of edges that are <= value: first among every STRIDE-th edge, then within that stride."""
+    hop = F.size(F.filter(coarse, lambda e: e <= value)) * STRIDE
+    return hop + F.size(F.filter(F.slice(edges, hop + 1, STRIDE - 1), lambda e: e <= value))
 
 
 def _value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -71,10 +69,12 @@ def _value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 def _celled(counts: DataFrame, cells: int) -> DataFrame:
     probs = [i / cells for i in range(1, cells)]
-    edges = counts.agg(F.percentile_approx("value", probs, SKETCH_ACCURACY).alias("edges")).scalar()
-    return (counts.withColumn("__edges", edges)
-            .withColumn("__cell", _cell_of(F.col("value"), F.col("__edges"), 0, cells - 1))
-            .drop("__edges"))
+    sketch = counts.agg(F.percentile_approx("value", probs, SKETCH_ACCURACY).alias("edges"))
+    coarse = F.filter("edges", lambda e, i: (i + 1) % STRIDE == 0)
+    packed = sketch.select(F.struct("edges", coarse.alias("coarse")).alias("s")).scalar()
+    return (counts.withColumn("__s", packed)
+            .withColumn("__cell", _cell_of(F.col("value"), F.col("__s.edges"), F.col("__s.coarse")))
+            .drop("__s"))
 
 
 def _cell_offsets(celled: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -65,7 +65,7 @@ def week_axis_profile(df: DataFrame, ts: str, value: str) -> DataFrame:
     monday = F.lit("2024-05-06 00:00:00").cast("timestamp_ntz")
     means = df.groupBy(F.weekday(ts).alias("weekday"), F.hour(ts).alias("hour")).agg(F.avg(value).alias(value))
     at = F.timestamp_add("HOUR", F.col("weekday") * 24 + F.col("hour"), monday)
-    return means.select(at.alias("at"), "weekday", "hour", value)
+    return means.select(at.alias("axis_ts"), "weekday", "hour", value)
 
 
 def block_variance_series(blocks: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def table_overview(df: DataFrame) -> DataFrame:
 
 def missing_profile(df: DataFrame) -> DataFrame:
     """Missing values per column, one pass and one output row per column."""
-    aggs = [F.struct(F.lit(c).alias("column"),
+    aggs = [F.struct(F.lit(c).alias("name"),
                      F.sum(F.col(c).isNull().cast("bigint")).alias("n_missing"),
                      F.avg(F.col(c).isNull().cast("double")).alias("pct_missing")) for c in df.columns]
     return df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
@@ -215,51 +215,62 @@ def histogram_bins(df: DataFrame, value: str, bins: int = 30, by: Sequence[str]
     return out.withColumn("center", F.col("__lo") + F.col("bin") * F.col("__w")).drop("__lo", "__w")
 
 
-def bandwidth(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rule-of-thumb bandwidth 0.9 min(sd, IQR/1.34) n^(-1/5) with its usual fallbacks."""
-    by = list(by)
-    aggs = [F.count(value).alias("n"), F.stddev_samp(value).alias("__sd"), F.max(F.abs(F.col(value))).alias("__abs")]
-    sums = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    quart = exact_quantiles(df, value, {"__q1": .25, "__q3": .75}, by)
-    full = null_safe_join(sums, quart, by) if by else with_stats(sums, quart, (), ["__q1", "__q3"])
+def _spread(data: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Size, standard deviation and extremes per group, one pass over the rows."""
+    aggs = [F.count(value).alias("n"), F.stddev_samp(value).alias("__sd"), F.max(F.abs(F.col(value))).alias("__abs"),
+            F.min(value).alias("__min"), F.max(value).alias("__max")]
+    return data.groupBy(*by).agg(*aggs) if by else data.agg(*aggs)
+
+
+def _bandwidth_of(spread: DataFrame, data: DataFrame, value: str, by: list[str]) -> DataFrame:
+    quart = exact_quantiles(data, value, {"__q1": .25, "__q3": .75}, by)
+    full = null_safe_join(spread, quart, by) if by else with_stats(spread, quart, (), ["__q1", "__q3"])
     low = F.least(F.col("__sd"), (F.col("__q3") - F.col("__q1")) / 1.34)
     low = F.coalesce(F.nullif(low, F.lit(0.0)), F.nullif(F.col("__sd"), F.lit(0.0)),
                      F.nullif(F.col("__abs"), F.lit(0.0)), F.lit(1.0))
     return full.select(*by, "n", (0.9 * low * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
 
 
+def bandwidth(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rule-of-thumb bandwidth 0.9 min(sd, IQR/1.34) n^(-1/5) with its usual fallbacks."""
+    by = list(by)
+    return _bandwidth_of(_spread(df, value, by), df, value, by)
+
+
 def kernel_density(df: DataFrame, value: str, by: Sequence[str] = (), points: int = 512,
                    reach: float = 8.0) -> DataFrame:
     """Gaussian kernel density per group on a common grid over the table's range.
 
-    Rows are first shared between their two neighbouring grid points (one
-    aggregate with map-side combine), so the kernel sum runs over at most
+    Two passes over the rows: sizes and extremes, and counts per distinct value
+    (which serve the quartiles and the binning).  Values are shared between
+    their two neighbouring grid points, so the kernel sum runs over at most
     ``points`` weighted points per group.  Kernel tails beyond ``reach``
     bandwidths (below 1e-14) are left out.
     """
     by = list(by)
     data = df.select(*by, F.col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull())
-    span = data.agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi")).select(
+    spread = _spread(data, "__x", by)
+    span = spread.agg(F.min("__min").alias("__lo"), F.max("__max").alias("__hi")).select(
         "__lo", F.nullif((F.col("__hi") - F.col("__lo")) / (points - 1), F.lit(0.0)).alias("__step"))
-    rows = with_stats(data, span, (), ["__lo", "__step"])
-    place = F.coalesce((F.col("__x") - F.col("__lo")) / F.col("__step"), F.lit(0.0))
+    rows = with_stats(value_counts(data, "__x", by), span, (), ["__lo", "__step"])
+    place = F.coalesce((F.col("value") - F.col("__lo")) / F.col("__step"), F.lit(0.0))
     cell = F.least(F.floor(place), F.lit(points - 2).cast("bigint"))
-    bins = (rows.withColumns({"__j": cell, "__f": place - cell}).groupBy(*by, "__j")
-            .agg(F.count(F.lit(1)).alias("__n"), F.sum("__f").alias("__right")))
+    bins = (rows.withColumns({"__j": cell, "__f": (place - cell) * F.col("copies")}).groupBy(*by, "__j")
+            .agg(F.sum("copies").alias("__n"), F.sum("__f").alias("__right")))
     halves = F.array(F.struct(F.col("__j").alias("j"), (F.col("__n") - F.col("__right")).alias("w")),
                      F.struct((F.col("__j") + 1).alias("j"), F.col("__right").alias("w")))
     mass = bins.select(*by, F.inline(halves)).groupBy(*by, "j").agg(F.sum("w").alias("w"))
-    widths = bandwidth(data, "__x", by)
+    widths = _bandwidth_of(spread, data, "__x", by)
     mass = null_safe_join(mass, widths, by) if by else with_stats(mass, widths, (), ["n", "bw"])
     mass = with_stats(mass, span, (), ["__lo", "__step"])
     step = F.coalesce("__step", F.lit(1.0))
     radius = F.ceil(F.lit(reach) * F.col("bw") / step)
     targets = F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("j") - radius),
                          F.least(F.lit(points - 1).cast("bigint"), F.col("j") + radius))
-    spread = mass.withColumn("k", F.explode(targets))
+    reached = mass.withColumn("k", F.explode(targets))
     u = (F.col("k") - F.col("j")) * step / F.col("bw")
     bump = F.col("w") * F.exp(-0.5 * u * u) / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))
-    return (spread.groupBy(*by, "k").agg(F.sum(bump).alias("density"), F.first(F.col("__lo") + F.col("k") * step).alias("x"))
+    return (reached.groupBy(*by, "k").agg(F.sum(bump).alias("density"), F.first(F.col("__lo") + F.col("k") * step).alias("x"))
             .select(*by, F.col("k").alias("point"), "x", "density"))
 
 
