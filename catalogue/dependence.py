@@ -11,6 +11,7 @@ from catalogue.registry import query
 from meterlab.functions.calendar import season_of, temporada_of
 from meterlab.operators import bootstrap as bs, dependence as dep, profiles as pf
 from meterlab.plans import ranking as plan
+from meterlab.sources.stages import materialise
 
 
 # --- SQL building blocks ------------------------------------------------------------------
@@ -255,7 +256,7 @@ def _area_scores(spark, d):
 WITH {AREA_SCORES}
 {box_sql('area_scores', 'gcc', 'area')}""")
 def gcc_box_by_group(spark, d):
-    return pf.box_stats(_area_scores(spark, d), "gcc", ["area"])
+    return plan.gcc_profile(_area_scores(spark, d), "area")[0]
 
 
 @query("gcc_density_by_group", "area point", "x density", sql=f"""
@@ -263,7 +264,7 @@ WITH {AREA_SCORES},
 {density_sql('area_scores', 'gcc', 'area', 64)}
 SELECT * FROM density""")
 def gcc_density_by_group(spark, d):
-    return pf.kernel_density(_area_scores(spark, d), "gcc", ["area"], points=64)
+    return plan.gcc_profile(_area_scores(spark, d), "area", points=64)[1]
 
 
 # --- population series, pairs, bootstrap ------------------------------------------------------------
@@ -368,7 +369,8 @@ def bootstrap_ci_k1(spark, d):
 
 
 def bootstrap_replicates(spark, d, replicates, k):
-    return bs.block_bootstrap(_boot_series(spark, d), ["temporada"], "pos", "energy", "temperature", replicates, k)
+    return materialise(
+        bs.block_bootstrap(_boot_series(spark, d), ["temporada"], "pos", "energy", "temperature", replicates, k))
 
 
 @query("bootstrap_ci_k7", "temporada", "ci_low ci_high", sql=f"""

@@ -7,12 +7,13 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterlab.functions.moments import percentile
 from meterlab.operators.order_stats import null_safe_join
+from meterlab.sources.stages import materialise
 
 OUTLIER = "outlier"
 
@@ -102,22 +103,6 @@ def pairs_within(vectors: DataFrame, id_col: str, radius: float, dims: int = 3,
 
 # --- Ward ---------------------------------------------------------------------------
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a local default exists only in local mode."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="meterlab-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-
-
 def _ward_local(cids: np.ndarray, sizes: np.ndarray, centres: np.ndarray, height: float) -> np.ndarray:
     """Greedy Ward merges up to ``height`` on a bounded number of clusters."""
     n = len(cids)
@@ -185,15 +170,13 @@ def ward_clusters(vectors: DataFrame, id_col: str, height: float, finish_at: int
     copies collapse first.  Once at most ``finish_at`` clusters remain (a counted
     bound) the rest is finished in one small task.
     """
-    spark = vectors.sparkSession
-    ensure_checkpoint_dir(spark)
     copies = vectors.groupBy("point").agg(F.min(id_col).alias("cid"), F.count(F.lit(1)).alias("size"))
-    state = copies.select("cid", "size", F.col("point").alias("centre")).checkpoint()
-    home = vectors.join(state.select(F.col("centre").alias("point"), "cid"), "point").select(id_col, "cid").checkpoint()
+    state = materialise(copies.select("cid", "size", F.col("point").alias("centre")))
+    home = materialise(vectors.join(state.select(F.col("centre").alias("point"), "cid"), "point").select(id_col, "cid"))
     count = state.count()
     reach = min(height, start if start is not None else height / 1024)
     while count > finish_at:
-        merges = _merge_round(state, reach, dims).checkpoint()
+        merges = materialise(_merge_round(state, reach, dims))
         merged = merges.count()
         if merged == 0:
             if reach >= height:
@@ -220,8 +203,8 @@ def _apply_merges(state: DataFrame, home: DataFrame, merges: DataFrame, id_col:
         F.slice("__parts", 2, 1),
         F.transform(F.get("__parts", F.lit(0))["centre"], lambda v: v * F.get(F.col("__parts"), F.lit(0))["__share"]),
         lambda acc, p: F.zip_with(acc, p["centre"], lambda u, v: u + v * p["__share"]))
-    state = halves.select("cid", "size", blend.alias("centre")).checkpoint()
-    home = home.join(target, "cid", "left").select(id_col, F.coalesce("__to", "cid").alias("cid")).checkpoint()
+    state = materialise(halves.select("cid", "size", blend.alias("centre")))
+    home = materialise(home.join(target, "cid", "left").select(id_col, F.coalesce("__to", "cid").alias("cid")))
     return state, home
 
 
@@ -322,8 +305,7 @@ def cluster_twice(series: DataFrame, key: str, ts: str, value: str, first_height
     Features belong to one household each, so the second pass reuses them.
     Returns ``(id, cluster)`` of the second pass and the ids dropped after the first.
     """
-    ensure_checkpoint_dir(series.sparkSession)
-    vectors = as_vectors(qaf_features(series, key, ts, value), key).checkpoint()
+    vectors = materialise(as_vectors(qaf_features(series, key, ts, value), key))
     labels = small_clusters(ward_clusters(vectors, key, first_height, **ward), key, "cluster", min_size)
     dropped = labels.where(F.col("label") == OUTLIER).select(key)
     kept = vectors.join(dropped, key, "left_anti")

@@ -2,18 +2,21 @@
 
 ``percentile`` and ordered windows bring a whole group into one task.  That is
 fine for one household's hourly series (the calendar bounds it) but not for
-"all rows of a season".  The operators here work on distinct values instead:
-
-1.  ``groupBy(group, value).count()`` with map-side combine.  Copies collapse
-    before the shuffle and a hot group spreads over all tasks because the value
-    is part of the hash key.
-2.  One mergeable quantile sketch over those values gives cell edges.  It is a
-    single row, used as a scalar subquery.  A cell of any group then holds
-    about 1/cells of the distinct values, whatever the group sizes are.
-3.  Cell totals (at most groups x cells rows) are prefix-summed.
-4.  Only inside a cell are values sorted.
-
-The sketch decides balance only; the counts make the result exact.
+"all rows of a season".  The operators here cut the value axis into cells:
+
+1.  One mergeable quantile sketch over the whole column gives 255 cell edges, a
+    single row used as a scalar subquery.  Whatever the sizes of the groups, a
+    cell of any group holds about 1/256 of the rows, or copies of one value.
+2.  Cell totals per group are counted map-side and prefix-summed: at most 256
+    rows per group.
+3.  :func:`exact_quantiles` then reads only the cells that hold a requested
+    order statistic; all other rows are filtered out before any shuffle.
+    :func:`value_positions` (ranks) needs every distinct value and sorts cell by
+    cell.
+
+The sketch decides balance only; the counts make the result exact.  A table is
+scanned up to three times, but rows are not shuffled to get there; if the
+input ends in a shuffle, its files are reused.
 """
 
 from __future__ import annotations
@@ -30,9 +33,7 @@ SKETCH_ACCURACY = 10000
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL; keeps the left keys."""
-    renamed = right
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"__r_{k}")
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     cond = None
     for k in keys:
         term = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
@@ -60,26 +61,25 @@ def _cell_of(value: Column, edges: Column, coarse: Column) -> Column:
     return hop + F.size(F.filter(F.slice(edges, hop + 1, STRIDE - 1), lambda e: e <= value))
 
 
-def _value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    v = F.col(value).cast("double")
-    return (df.select(*by, v.alias("value"))
-            .where(F.col("value").isNotNull() & ~F.isnan("value"))
-            .groupBy(*by, "value").agg(F.count(F.lit(1)).alias("copies")))
+def _present(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    rows = df.select(*by, F.col(value).cast("double").alias("value"))
+    return rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def _celled(counts: DataFrame, cells: int) -> DataFrame:
+def _celled(rows: DataFrame, cells: int) -> DataFrame:
+    """Add ``__cell`` to rows with a ``value`` column."""
     probs = [i / cells for i in range(1, cells)]
-    sketch = counts.agg(F.percentile_approx("value", probs, SKETCH_ACCURACY).alias("edges"))
+    sketch = rows.agg(F.percentile_approx("value", probs, SKETCH_ACCURACY).alias("edges"))
     coarse = F.filter("edges", lambda e, i: (i + 1) % STRIDE == 0)
     packed = sketch.select(F.struct("edges", coarse.alias("coarse")).alias("s")).scalar()
-    return (counts.withColumn("__s", packed)
-            .withColumn("__cell", _cell_of(F.col("value"), F.col("__s.edges"), F.col("__s.coarse")))
-            .drop("__s"))
+    cell = _cell_of(F.col("value"), F.col("__s.edges"), F.col("__s.coarse"))
+    return rows.withColumn("__s", packed).withColumn("__cell", cell).drop("__s")
 
 
-def _cell_offsets(celled: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, __cell, __here, __before, total): prefix sums over <= CELLS rows per group."""
-    sums = celled.groupBy(*by, "__cell").agg(F.sum("copies").alias("__here"))
+def _cell_sums(celled: DataFrame, by: Sequence[str], copies: Column) -> DataFrame:
+    """(by, __cell, __here, __least, __most, __before, total), at most CELLS rows per group."""
+    sums = celled.groupBy(*by, "__cell").agg(
+        F.sum(copies).alias("__here"), F.min("value").alias("__least"), F.max("value").alias("__most"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     upto = F.sum("__here").over(group.orderBy("__cell"))
     return sums.withColumns({
@@ -88,6 +88,23 @@ def _cell_offsets(celled: DataFrame, by: Sequence[str]) -> DataFrame:
     })
 
 
+def _values_in(celled: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Distinct values with counts of the chosen (by, __cell), with the columns of ``cells``.
+
+    The set of cell numbers (at most CELLS integers) filters the rows before
+    the shuffle.
+    """
+    numbers = cells.agg(F.collect_set("__cell").alias("c")).scalar()
+    counts = (celled.where(F.array_contains(numbers, F.col("__cell")))
+              .groupBy(*by, "__cell", "value").agg(F.count(F.lit(1)).alias("copies")))
+    return null_safe_join(counts, cells, [*by, "__cell"])
+
+
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct non-NULL values per group with their number of copies."""
+    return _present(df, value, by).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("copies"))
+
+
 def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), cells: int = CELLS) -> DataFrame:
     """Distinct non-NULL values with their place in the order of their group.
 
@@ -95,25 +112,16 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), cells: in
     rows of the group with a smaller value.
     """
     by = list(by)
-    celled = _celled(_value_counts(df, value, by), cells)
-    placed = null_safe_join(celled, _cell_offsets(celled, by), [*by, "__cell"])
+    celled = _celled(value_counts(df, value, by), cells)
+    sums = _cell_sums(celled, by, F.col("copies")).drop("__here", "__least", "__most")
+    placed = null_safe_join(celled, sums, [*by, "__cell"])
     inside = Window.partitionBy(*by, "__cell").orderBy("value")
     running = F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return placed.withColumn("below", F.col("__before") + running - F.col("copies")).select(
         *by, "value", "copies", "below", "total")
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
-                    by: Sequence[str] = (), cells: int = CELLS) -> DataFrame:
-    """Exact interpolated quantiles (the usual (n-1)p rule), one row per group.
-
-    Only the cells that contain a requested order statistic are sorted.
-    ``probs`` maps output column names to probabilities.
-    """
-    by = list(by)
-    celled = _celled(_value_counts(df, value, by), cells)
-    offsets = _cell_offsets(celled, by)
-
+def _quantiles(celled: DataFrame, sums: DataFrame, probs: Mapping[str, float], by: list[str]) -> DataFrame:
     def place(p: float) -> Column:
         return F.lit(float(p)) * (F.col("total") - 1)
 
@@ -122,7 +130,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
         for k in (F.floor(place(p)), F.ceil(place(p))):
             hit = (F.col("__before") <= k) & (k < F.col("__before") + F.col("__here"))
             wanted = hit if wanted is None else wanted | hit
-    kept = null_safe_join(celled, offsets.where(wanted), [*by, "__cell"])
+    kept = _values_in(celled, sums.where(wanted).select(*by, "__cell", "__before", "total"), by)
     inside = Window.partitionBy(*by, "__cell").orderBy("value")
     ranked = kept.withColumn(
         "__upto", F.col("__before") + F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
@@ -139,6 +147,51 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
     return found.select(*out)
 
 
+def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
+                    by: Sequence[str] = (), cells: int = CELLS) -> DataFrame:
+    """Exact interpolated quantiles (the usual (n-1)p rule), one row per group.
+
+    ``probs`` maps output column names to probabilities.
+    """
+    by = list(by)
+    celled = _celled(_present(df, value, by), cells)
+    return _quantiles(celled, _cell_sums(celled, by, F.lit(1)), probs, by)
+
+
+def exact_fences(df: DataFrame, value: str, by: Sequence[str] = (), k: float = 1.5,
+                 cells: int = CELLS) -> DataFrame:
+    """Quartiles, and what lies beyond ``k`` interquartile ranges of them, per group.
+
+    Returns ``(*by, n, q1, median, q3, lower_whisker, upper_whisker, n_outliers)``.
+    A cell wholly inside or outside the fences is settled by its minimum,
+    maximum and count; only the cells a fence cuts through are read again.
+    """
+    by = list(by)
+    celled = _celled(_present(df, value, by), cells)
+    sums = _cell_sums(celled, by, F.lit(1))
+    quart = _quantiles(celled, sums, {"q1": .25, "median": .5, "q3": .75}, by)
+    fenced = with_stats(sums, quart, by, ["q1", "median", "q3"])
+    reach = k * (F.col("q3") - F.col("q1"))
+    fenced = fenced.withColumns({"__low": F.col("q1") - reach, "__high": F.col("q3") + reach})
+    low, high, least, most = (F.col(c) for c in ("__low", "__high", "__least", "__most"))
+    cut = ((least < low) & (most >= low)) | ((least <= high) & (most > high))
+    inside = (least >= low) & (most <= high)
+    settled = fenced.select(
+        *by, "q1", "median", "q3", "total",
+        F.when(~cut & inside, least).alias("__a"), F.when(~cut & inside, most).alias("__b"),
+        F.when(~cut & ~inside, F.col("__here")).otherwise(0).alias("__out"))
+    open_cells = fenced.where(cut).select(*by, "__cell", "q1", "median", "q3", "total", "__low", "__high")
+    v = F.col("value")
+    ok = (v >= low) & (v <= high)
+    opened = _values_in(celled, open_cells, by).select(
+        *by, "q1", "median", "q3", "total", F.when(ok, v).alias("__a"), F.when(ok, v).alias("__b"),
+        F.when(ok, 0).otherwise(F.col("copies")).alias("__out"))
+    both = settled.unionByName(opened)
+    aggs = [F.max("total").alias("n"), *[F.max(c).alias(c) for c in ("q1", "median", "q3")],
+            F.min("__a").alias("lower_whisker"), F.max("__b").alias("upper_whisker"), F.sum("__out").alias("n_outliers")]
+    return both.groupBy(*by).agg(*aggs) if by else both.agg(*aggs)
+
+
 def population_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank",
                     descending: bool = True, cells: int = CELLS) -> DataFrame:
     """Rank with shared minimum for ties, without a single-task sort.
@@ -160,8 +213,3 @@ def with_stats(rows: DataFrame, stats: DataFrame, by: Sequence[str], names: Sequ
     packed = stats.select(F.struct(*names).alias("s")).scalar()
     return rows.withColumn("__s", packed).select(
         *rows.columns, *[F.col("__s").getField(c).alias(c) for c in names])
-
-
-def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct non-NULL values per group with their number of copies."""
-    return _value_counts(df, value, list(by))

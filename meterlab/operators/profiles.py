@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from meterlab.functions.calendar import season_of
 from meterlab.functions.moments import joint_corr, mean_strict
-from meterlab.operators.order_stats import exact_quantiles, null_safe_join, value_counts, with_stats
+from meterlab.operators.order_stats import exact_fences, exact_quantiles, null_safe_join, with_stats
 from meterlab.operators.preparation import fences, outside
 from meterlab.operators.stationary import numeric_columns
 
@@ -77,15 +77,12 @@ def block_variance_series(blocks: DataFrame) -> DataFrame:
 # --- outlier share, summaries ---------------------------------------------------------
 
 def outlier_share(df: DataFrame, value: str) -> DataFrame:
-    """Table-wide interquartile fences and percentage of rows outside them."""
+    """Table-wide interquartile fences and percentage of all rows outside them."""
     stats = exact_quantiles(df, value, {"q1": .25, "q3": .75})
-    rows = with_stats(value_counts(df, value), stats, (), ["q1", "q3"])
+    rows = with_stats(df.select(value), stats, (), ["q1", "q3"])
     low, high = fences(F.col("q1"), F.col("q3"))
-    n_out = F.sum(F.when(outside(F.col("value"), low, high), F.col("copies")).otherwise(0))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return rows.agg(F.first(low).alias("lower_threshold"), F.first(high).alias("upper_threshold"),
-                    n_out.alias("__out")).select(
-        "lower_threshold", "upper_threshold", (F.try_divide(F.col("__out"), total) * 100).alias("percent"))
+    share = F.avg(F.coalesce(outside(F.col(value), low, high), F.lit(False)).cast("double")) * 100
+    return rows.agg(F.max(low).alias("lower_threshold"), F.max(high).alias("upper_threshold"), share.alias("percent"))
 
 
 def six_number_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -241,22 +238,21 @@ def kernel_density(df: DataFrame, value: str, by: Sequence[str] = (), points: in
                    reach: float = 8.0) -> DataFrame:
     """Gaussian kernel density per group on a common grid over the table's range.
 
-    Two passes over the rows: sizes and extremes, and counts per distinct value
-    (which serve the quartiles and the binning).  Values are shared between
-    their two neighbouring grid points, so the kernel sum runs over at most
-    ``points`` weighted points per group.  Kernel tails beyond ``reach``
-    bandwidths (below 1e-14) are left out.
+    Rows are shared between their two neighbouring grid points in one aggregate
+    with map-side combine, so the kernel sum runs over at most ``points``
+    weighted points per group.  Kernel tails beyond ``reach`` bandwidths (below
+    1e-14) are left out.
     """
     by = list(by)
     data = df.select(*by, F.col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull())
     spread = _spread(data, "__x", by)
     span = spread.agg(F.min("__min").alias("__lo"), F.max("__max").alias("__hi")).select(
         "__lo", F.nullif((F.col("__hi") - F.col("__lo")) / (points - 1), F.lit(0.0)).alias("__step"))
-    rows = with_stats(value_counts(data, "__x", by), span, (), ["__lo", "__step"])
-    place = F.coalesce((F.col("value") - F.col("__lo")) / F.col("__step"), F.lit(0.0))
+    rows = with_stats(data, span, (), ["__lo", "__step"])
+    place = F.coalesce((F.col("__x") - F.col("__lo")) / F.col("__step"), F.lit(0.0))
     cell = F.least(F.floor(place), F.lit(points - 2).cast("bigint"))
-    bins = (rows.withColumns({"__j": cell, "__f": (place - cell) * F.col("copies")}).groupBy(*by, "__j")
-            .agg(F.sum("copies").alias("__n"), F.sum("__f").alias("__right")))
+    bins = (rows.withColumns({"__j": cell, "__f": place - cell}).groupBy(*by, "__j")
+            .agg(F.count(F.lit(1)).alias("__n"), F.sum("__f").alias("__right")))
     halves = F.array(F.struct(F.col("__j").alias("j"), (F.col("__n") - F.col("__right")).alias("w")),
                      F.struct((F.col("__j") + 1).alias("j"), F.col("__right").alias("w")))
     mass = bins.select(*by, F.inline(halves)).groupBy(*by, "j").agg(F.sum("w").alias("w"))
@@ -276,16 +272,7 @@ def kernel_density(df: DataFrame, value: str, by: Sequence[str] = (), points: in
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, whiskers (extreme values within 1.5 IQR) and outlier count per group."""
-    by = list(by)
-    quart = exact_quantiles(df, value, {"q1": .25, "median": .5, "q3": .75}, by)
-    rows = with_stats(value_counts(df, value, by), quart, by, ["q1", "median", "q3"])
-    low, high = fences(F.col("q1"), F.col("q3"))
-    out = outside(F.col("value"), low, high)
-    aggs = [F.sum("copies").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
-            F.first("q3").alias("q3"), F.min(F.when(~out, F.col("value"))).alias("lower_whisker"),
-            F.max(F.when(~out, F.col("value"))).alias("upper_whisker"),
-            F.sum(F.when(out, F.col("copies")).otherwise(0)).alias("n_outliers")]
-    return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+    return exact_fences(df, value, by)
 
 
 # --- two variables ---------------------------------------------------------------------------

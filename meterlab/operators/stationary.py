@@ -18,6 +18,7 @@ from meterlab.functions.moments import percentile, zscore_over
 from meterlab.operators.order_stats import exact_quantiles
 from meterlab.operators.preparation import fences, outside
 from meterlab.operators.seasonal import decompose
+from meterlab.sources.stages import materialise
 
 CALENDAR_HELPERS = frozenset({"hour", "week", "month", "quarter", "year", "monthday", "weekday"})
 
@@ -168,7 +169,7 @@ def imputed_share(df: DataFrame, key: str, share: str = "pct_imputed") -> DataFr
 
 def heavily_imputed(df: DataFrame, key: str, p: float = 0.9, share: str = "pct_imputed") -> DataFrame:
     """Households above the population quantile ``p`` of the imputed share (strict)."""
-    shares = imputed_share(df, key, share)
+    shares = materialise(imputed_share(df, key, share))
     limit = exact_quantiles(shares, share, {"limit": p}).scalar()
     return shares.withColumn("__limit", limit).where(F.col(share) > F.col("__limit")).select(key)
 

@@ -12,8 +12,9 @@ from meterlab.functions.moments import zscore_over
 from meterlab.operators import bootstrap, dependence
 from meterlab.operators.activity import detect_home
 from meterlab.operators.preparation import min_history
-from meterlab.operators.profiles import mean_by
+from meterlab.operators.profiles import box_stats, kernel_density, mean_by
 from meterlab.operators.stationary import drop_heavily_imputed, numeric_columns, stationarise
+from meterlab.sources.stages import materialise
 
 
 def stationary_table(hourly: DataFrame, key: str, ts: str, energy: str, weather: Sequence[str],
@@ -28,10 +29,18 @@ def household_ranking(stationary: DataFrame, key: str, ts: str, x: str, y: str,
                       keep: DataFrame | None = None) -> DataFrame:
     """Rank households by the GCC of their typical weeks, per cold/warm season or overall."""
     rows = stationary if keep is None else stationary.join(keep, key, "left_semi")
-    scores = dependence.gcc_by_household(rows, key, ts, x, y, k, method, by_seasons)
+    scores = materialise(dependence.gcc_by_household(rows, key, ts, x, y, k, method, by_seasons))
     return dependence.rank_households(scores, ["temporada"] if by_seasons else [])
 
 
+def gcc_profile(ranking: DataFrame, by: str, groups: Sequence[str] | None = None, value: str = "gcc",
+                points: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Box statistics and kernel density of the GCC per group of an enriched ranking."""
+    rows = ranking if groups is None else ranking.where(F.col(by).isin(*groups))
+    rows = materialise(rows.select(by, value))
+    return box_stats(rows, value, [by]), kernel_density(rows, value, [by], points)
+
+
 def daily_stationary(population: DataFrame, ts: str, energy: str, transformation: str = "mstl",
                      key: Sequence[str] = (), cols: Sequence[str] | None = None, **options) -> DataFrame:
     """Daily, standardised version of one population-mean series per key, with season labels.
@@ -59,7 +68,7 @@ def bootstrap_interval(daily: DataFrame, x: str, y: str, key: Sequence[str] = ()
     if not keys:
         work, keys = daily.withColumn("__series", F.lit(0)), ["__series"]
     placed = work.withColumn("__pos", F.row_number().over(Window.partitionBy(*keys).orderBy("date")))
-    samples = bootstrap.block_bootstrap(placed, keys, "__pos", x, y, replicates, k, seed=seed)
+    samples = materialise(bootstrap.block_bootstrap(placed, keys, "__pos", x, y, replicates, k, seed=seed))
     return bootstrap.percentile_ci(samples, keys, alpha).drop("__series")
 
 
