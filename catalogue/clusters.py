@@ -41,9 +41,9 @@ def qaf_features(spark, d):
 WITH {QAF},
 pts AS (SELECT meter, [{', '.join(NAMES)}] AS point FROM qaf WHERE {' AND '.join(n + ' IS NOT NULL' for n in NAMES)})
 SELECT a.meter AS i, b.meter AS j, list_distance(a.point, b.point) AS distance
-FROM pts a JOIN pts b ON a.meter < b.meter WHERE list_distance(a.point, b.point) <= 0.08""")
+FROM pts a JOIN pts b ON a.meter < b.meter WHERE list_distance(a.point, b.point) <= 0.0301""")
 def pairs_within(spark, d):
-    return cl.pairs_within(cl.as_vectors(_features(spark, d), "meter", NAMES), "meter", 0.08)
+    return cl.pairs_within(cl.as_vectors(_features(spark, d), "meter", NAMES), "meter", 0.0301)
 
 
 # Clusterings are checked in tests/test_cluster.py against a plain greedy merge.

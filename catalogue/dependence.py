@@ -135,17 +135,19 @@ def typical_week(spark, d):
 @query("lag_correlations_pearson", "meter kind lag", "rho", sql=f"""
 WITH {WEEK},
 {lags_sql('week', 'meter', 3, 'pearson')}
-SELECT * FROM lags""")
+SELECT * FROM lags WHERE rho IS NOT NULL""")
 def lag_correlations_pearson(spark, d):
-    return dep.lag_correlations(_week(spark, d), ["meter"], "pos", "energy", "temperature", 3, "pearson")
+    return dep.lag_correlations(_week(spark, d), ["meter"], "pos", "energy", "temperature", 3, "pearson").where(
+        F.col("rho").isNotNull())
 
 
 @query("lag_correlations_spearman", "meter kind lag", "rho", sql=f"""
 WITH {WEEK},
 {lags_sql('week', 'meter', 3, 'spearman')}
-SELECT * FROM lags""")
+SELECT * FROM lags WHERE rho IS NOT NULL""")
 def lag_correlations_spearman(spark, d):
-    return dep.lag_correlations(_week(spark, d), ["meter"], "pos", "energy", "temperature", 3, "spearman")
+    return dep.lag_correlations(_week(spark, d), ["meter"], "pos", "energy", "temperature", 3, "spearman").where(
+        F.col("rho").isNotNull())
 
 
 @query("gcc_k0", "meter", "gcc", sql=f"""
@@ -179,9 +181,10 @@ def gcc_k1_pearson(spark, d):
 WITH RECURSIVE {WEEK},
 {lags_sql('week', 'meter', 24, 'spearman')},
 {gcc_sql('meter', 24)}
-SELECT * FROM scores""")
+SELECT * FROM scores WHERE gcc IS NOT NULL""")
 def gcc_k24(spark, d):
-    return dep.gcc(_week(spark, d), ["meter"], "pos", "energy", "temperature", 24, "spearman")
+    scores = dep.gcc(_week(spark, d), ["meter"], "pos", "energy", "temperature", 24, "spearman")
+    return scores.where(F.col("valid"))
 
 
 # --- ranking ------------------------------------------------------------------------------------

@@ -246,8 +246,9 @@ def density_sql(src: str, value: str, by: str, points: int = 512, prefix: str =
     """Kernel density by linear sharing to the grid, as CTEs ending in ``density``."""
     return f"""span AS (SELECT min({value}) AS lo, (max({value}) - min({value})) / {points - 1}.0 AS step FROM {src}),
 stat AS (
-  SELECT {by}, count(*) AS n, 0.9 * least(stddev_samp({value}),
-         (quantile_cont({value}, 0.75) - quantile_cont({value}, 0.25)) / 1.34) * pow(count(*), -0.2) AS bw
+  SELECT {by}, count(*) AS n, 0.9 * pow(count(*), -0.2) * coalesce(
+           nullif(least(stddev_samp({value}), (quantile_cont({value}, 0.75) - quantile_cont({value}, 0.25)) / 1.34), 0),
+           nullif(stddev_samp({value}), 0), nullif(max(abs({value})), 0), 1) AS bw
   FROM {src} WHERE {value} IS NOT NULL GROUP BY {by}),
 place AS (
   SELECT {by}, ({value} - lo) / step AS p,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,10 +24,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder and read from there afterwards.
+    """Write once as a table in the shared checkpoint folder and read it from there afterwards.
 
     Meant for results that are small next to their cost (one row per household
-    or per replicate) and are used several times.  Survives lost executors.
+    or per replicate) and are used several times.  Survives lost executors, cuts
+    the lineage, and gives later joins the true size to plan with (a plain
+    checkpoint keeps the estimated size, which explodes over iterations).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
