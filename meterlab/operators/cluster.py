@@ -184,6 +184,8 @@ def ward_clusters(vectors: DataFrame, id_col: str, height: float, finish_at: int
             reach = min(height, reach * 2)
             continue
         state, home = _apply_merges(state, home, merges, id_col)
+        if merged * 50 < count:
+            reach = min(height, reach * 2)  # few pairs left this close; any reciprocal pair may merge
         count -= merged
     if 1 < count <= finish_at:
         finish = _finish(state, height)

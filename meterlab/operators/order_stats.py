@@ -21,14 +21,14 @@ input ends in a shuffle, its files are reused.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = 256
 STRIDE = 16
-SKETCH_ACCURACY = 10000
+SKETCH_ACCURACY = 2000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -55,10 +55,13 @@ def attach_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], salts:
     return null_safe_join(salted, copies, [*keys, "__salt"], "left").drop("__salt")
 
 
-def _cell_of(value: Column, edges: Column, coarse: Column) -> Column:
-    """Number of edges that are <= value: first among every STRIDE-th edge, then within that stride."""
-    hop = F.size(F.filter(coarse, lambda e: e <= value)) * STRIDE
-    return hop + F.size(F.filter(F.slice(edges, hop + 1, STRIDE - 1), lambda e: e <= value))
+def _edges_upto(value: Column, edge: Callable[[int], Column], low: int, high: int) -> Column:
+    """How many of the ascending edges are <= value: a balanced CASE tree, compiled with the stage."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(value < edge(mid), _edges_upto(value, edge, low, mid)).otherwise(
+        _edges_upto(value, edge, mid + 1, high))
 
 
 def _present(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -67,13 +70,17 @@ def _present(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 
 def _celled(rows: DataFrame, cells: int) -> DataFrame:
-    """Add ``__cell`` to rows with a ``value`` column."""
+    """Add ``__cell`` to rows with a ``value`` column; ``cells`` is a multiple of STRIDE.
+
+    The search goes through every STRIDE-th edge first, then within that stride.
+    """
     probs = [i / cells for i in range(1, cells)]
-    sketch = rows.agg(F.percentile_approx("value", probs, SKETCH_ACCURACY).alias("edges"))
-    coarse = F.filter("edges", lambda e, i: (i + 1) % STRIDE == 0)
-    packed = sketch.select(F.struct("edges", coarse.alias("coarse")).alias("s")).scalar()
-    cell = _cell_of(F.col("value"), F.col("__s.edges"), F.col("__s.coarse"))
-    return rows.withColumn("__s", packed).withColumn("__cell", cell).drop("__s")
+    edges = rows.agg(F.percentile_approx("value", probs, SKETCH_ACCURACY).alias("edges")).scalar()
+    value, at = F.col("value"), F.col("__edges")
+    hop = _edges_upto(value, lambda i: F.get(at, F.lit((i + 1) * STRIDE - 1)), 0, cells // STRIDE - 1) * STRIDE
+    cell = F.col("__hop") + _edges_upto(value, lambda i: F.get(at, F.col("__hop") + i), 0, STRIDE - 1)
+    return (rows.withColumn("__edges", edges).withColumn("__hop", hop).withColumn("__cell", cell)
+            .drop("__edges", "__hop"))
 
 
 def _cell_sums(celled: DataFrame, by: Sequence[str], copies: Column) -> DataFrame:
@@ -91,12 +98,17 @@ def _cell_sums(celled: DataFrame, by: Sequence[str], copies: Column) -> DataFram
 def _values_in(celled: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """Distinct values with counts of the chosen (by, __cell), with the columns of ``cells``.
 
-    The set of cell numbers (at most CELLS integers) filters the rows before
-    the shuffle.
+    Rows of cells whose number is not wanted by any group (a set of at most
+    CELLS integers) fall into one NULL group per ``by``, which collapses before
+    the shuffle and finds no partner in the join.  A filter would do the same
+    but gets pushed below the cell number and evaluates it twice.
     """
     numbers = cells.agg(F.collect_set("__cell").alias("c")).scalar()
-    counts = (celled.where(F.array_contains(numbers, F.col("__cell")))
-              .groupBy(*by, "__cell", "value").agg(F.count(F.lit(1)).alias("copies")))
+    marked = celled.withColumn("__keep", F.array_contains(numbers, F.col("__cell")))
+    counts = marked.select(
+        *by, F.when(F.col("__keep"), F.col("__cell")).alias("__cell"),
+        F.when(F.col("__keep"), F.col("value")).alias("value"),
+    ).groupBy(*by, "__cell", "value").agg(F.count(F.lit(1)).alias("copies"))
     return null_safe_join(counts, cells, [*by, "__cell"])
 
 

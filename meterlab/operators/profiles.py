@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterlab.functions.calendar import season_of
-from meterlab.functions.moments import joint_corr, mean_strict
+from meterlab.functions.moments import mean_strict
 from meterlab.operators.order_stats import exact_fences, exact_quantiles, null_safe_join, with_stats
 from meterlab.operators.preparation import fences, outside
 from meterlab.operators.stationary import numeric_columns
@@ -321,11 +321,20 @@ def scale_coefficient(df: DataFrame, a: str, b: str, rounded: bool = False) -> D
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlations of complete rows, all pairs in one aggregate."""
+    """Pearson correlations of complete rows, all pairs in one aggregate; NULL for a constant column."""
+    cols = list(cols)
     rows = df.select(*cols).dropna("any")
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), joint_corr(a, b).alias("rho"))
-                      for a in cols for b in cols])
-    return rows.agg(pairs.alias("p")).select(F.inline("p"))
+    upper = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    moments = rows.agg(*[
+        (F.var_pop(cols[i]) if i == j else F.covar_pop(cols[i], cols[j])).alias(f"__m{i}_{j}") for i, j in upper])
+
+    def rho(i: int, j: int) -> Column:
+        spread = F.sqrt(F.col(f"__m{i}_{i}")) * F.sqrt(F.col(f"__m{j}_{j}"))
+        return F.try_divide(F.col(f"__m{min(i, j)}_{max(i, j)}"), F.nullif(spread, F.lit(0.0)))
+
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), rho(i, j).alias("rho"))
+                      for i, a in enumerate(cols) for j, b in enumerate(cols)])
+    return moments.select(F.inline(pairs))
 
 
 def variable_pairs(df: DataFrame, anchor: str, cols: Sequence[str], keep: Sequence[str] = (),
