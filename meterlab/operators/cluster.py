@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterlab.functions.moments import percentile
-from meterlab.operators.order_stats import null_safe_join
+from meterlab.operators.order_stats import attach_stats, null_safe_join
 from meterlab.sources.stages import materialise
 
 OUTLIER = "outlier"
@@ -172,7 +172,8 @@ def ward_clusters(vectors: DataFrame, id_col: str, height: float, finish_at: int
     """
     copies = vectors.groupBy("point").agg(F.min(id_col).alias("cid"), F.count(F.lit(1)).alias("size"))
     state = materialise(copies.select("cid", "size", F.col("point").alias("centre")))
-    home = materialise(vectors.join(state.select(F.col("centre").alias("point"), "cid"), "point").select(id_col, "cid"))
+    # A cluster or a point with many copies may hold a large share of the ids: salted joins on that side.
+    home = materialise(attach_stats(vectors, state.select(F.col("centre").alias("point"), "cid"), ["point"]).select(id_col, "cid"))
     count = state.count()
     reach = min(height, start if start is not None else height / 1024)
     while count > finish_at:
@@ -189,7 +190,7 @@ def ward_clusters(vectors: DataFrame, id_col: str, height: float, finish_at: int
         count -= merged
     if 1 < count <= finish_at:
         finish = _finish(state, height)
-        home = home.join(finish, "cid").select(id_col, F.col("final").alias("cid"))
+        home = attach_stats(home, finish, ["cid"]).select(id_col, F.col("final").alias("cid"))
     return home.select(id_col, F.col("cid").alias("cluster"))
 
 
@@ -206,7 +207,7 @@ def _apply_merges(state: DataFrame, home: DataFrame, merges: DataFrame, id_col:
         F.transform(F.get("__parts", F.lit(0))["centre"], lambda v: v * F.get(F.col("__parts"), F.lit(0))["__share"]),
         lambda acc, p: F.zip_with(acc, p["centre"], lambda u, v: u + v * p["__share"]))
     state = materialise(halves.select("cid", "size", blend.alias("centre")))
-    home = materialise(home.join(target, "cid", "left").select(id_col, F.coalesce("__to", "cid").alias("cid")))
+    home = materialise(attach_stats(home, target, ["cid"]).select(id_col, F.coalesce("__to", "cid").alias("cid")))
     return state, home
 
 
@@ -235,7 +236,7 @@ def small_clusters(df: DataFrame, id_col: str, cluster: str, min_size: int = 100
     kept = sizes.where(F.col("__n") >= min_size)
     order = Window.partitionBy(F.lit(0)).orderBy("__first")
     names = kept.withColumn("__name", F.row_number().over(order).cast("string")).select(cluster, "__name")
-    named = null_safe_join(df.select(id_col, cluster), names, [cluster], "left")
+    named = attach_stats(df.select(id_col, cluster), names, [cluster])
     return named.select(id_col, cluster, F.coalesce("__name", F.lit(OUTLIER)).alias("label"))
 
 
@@ -276,7 +277,7 @@ def silhouette(vectors: DataFrame, id_col: str, cluster: str, block_rows: int =
     partial = rows.unionByName(cols).groupBy("__i", "__j").applyInPandas(sums, T.StructType(fields))
     per = partial.groupBy(id_col, "__other").agg(F.sum("__sum").alias("__sum"))
     sizes = vectors.groupBy(F.col(cluster).alias("__other")).agg(F.count(F.lit(1)).alias("__n"))
-    per = null_safe_join(per, sizes, ["__other"])
+    per = attach_stats(per, sizes, ["__other"])
     own = null_safe_join(per, vectors.select(id_col, F.col(cluster).alias("__mine")), [id_col])
     same = F.col("__other").eqNullSafe(F.col("__mine"))
     out = own.groupBy(id_col).agg(

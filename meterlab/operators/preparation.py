@@ -199,10 +199,10 @@ def winsorise(df: DataFrame, value: str, by: list[str] | None = None,
 
 def minmax(df: DataFrame, value: str, name: str | None = None) -> DataFrame:
     """Scale a column to [0, 1] over the whole table; NULL when it is constant."""
-    lo, hi = (df.agg(f(value).alias("v")).scalar() for f in (F.min, F.max))
-    return df.withColumns({"__lo": lo, "__hi": hi}).withColumn(
-        name or value, F.try_divide(F.col(value) - F.col("__lo"), F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)))
-    ).drop("__lo", "__hi")
+    span = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    rows = with_stats(df, span, (), ["__lo", "__hi"])
+    scaled = F.try_divide(F.col(value) - F.col("__lo"), F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)))
+    return rows.withColumn(name or value, scaled).drop("__lo", "__hi")
 
 
 def min_history(df: DataFrame, key: str, rows: int = 24 * 30 * 6) -> DataFrame:
