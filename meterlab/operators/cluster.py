@@ -74,7 +74,7 @@ def _squared(a: str, b: str):
 
 
 def _cells(point: str, width, dims: int):
-    return F.array(*[F.floor(F.get(F.col(point), F.lit(i)) / width) for i in range(dims)])
+    return F.array(*[F.floor(F.coalesce(F.get(F.col(point), F.lit(i)), F.lit(0.0)) / width) for i in range(dims)])
 
 
 def _around(cell: str, dims: int):
@@ -266,11 +266,7 @@ def silhouette(vectors: DataFrame, id_col: str, cluster: str, block_rows: int =
         codes, names = pd.factorize(other[cluster])
         total = np.zeros((len(a), len(names)))
         for c in range(len(names)):
-            gap = a[:, None, :] - b[codes == c][None, :, :] if a.shape[1] <= 16 else None
-            if gap is not None:
-                total[:, c] = np.sqrt((gap ** 2).sum(axis=2)).sum(axis=1)
-            else:
-                total[:, c] = _distance_sums(a, b[codes == c])
+            total[:, c] = _distance_sums(a, b[codes == c])
         return pd.DataFrame({id_col: np.repeat(own[id_col].to_numpy(), len(names)),
                              "__other": np.tile(np.asarray(names), len(a)), "__sum": total.ravel()})
 

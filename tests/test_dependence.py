@@ -73,7 +73,7 @@ def test_windowed_lags_and_closed_form(spark, pair, method):
         assert closed == pytest.approx(plain_gcc(x, y, k, method)) == arrays
 
 
-def reference_normals(seed, n):
+def seeded_normals(seed, n):
     """Mersenne Twister with inversion, as the published example draws its normals."""
     state = np.empty(625, dtype=np.uint64)
     value = seed
@@ -90,7 +90,7 @@ def reference_normals(seed, n):
 
 
 def test_worked_example():
-    z = reference_normals(123, 1000)
+    z = seeded_normals(123, 1000)
     assert z[:3] == pytest.approx([-0.56047565, -0.23017749, 1.55870831])
     x = 3 + 2 * z
     y = .75 + x + x ** 2 + 3 * x ** 4
@@ -103,7 +103,7 @@ def test_degenerate_series(spark):
     smooth = np.sin(2 * np.pi * t / 24)
     value, valid = dep.gcc_value(smooth, np.cos(2 * np.pi * t / 24), 24, "pearson")
     assert np.isnan(value) or not valid or 0 <= value <= 1
-    assert dep.gcc_value(np.ones(50), smooth[:50], 1) [1] is False
+    assert dep.gcc_value(np.ones(50), smooth[:50], 1)[1] is False
     flat = long_frame(spark, np.ones(20), np.arange(20.0))
     assert dep.gcc(flat, ["k"], "pos", "x", "y", 1).first()["gcc"] is None
     assert dep.gcc_closed_form(dep.lag_correlations(flat, ["k"], "pos", "x", "y", 1), ["k"], 1).first()["gcc"] is None
