@@ -8,4 +8,12 @@ Layout
 ``sources``    readers and writers
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few functions that run inside Python tasks travel with the job, so workers
+# need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 
@@ -30,12 +29,18 @@ def _odd_at_least(x: float) -> int:
     return n + 1 - n % 2
 
 
-@lru_cache(maxsize=256)
-def _windows(n: int, window: int, jump: int, pad: int):
+_KNOWN_WINDOWS: dict[tuple[int, int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def _windows(n: int, window: int, jump: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Evaluation points, neighbour indices and tricube weights on a unit grid.
 
     ``pad`` adds one evaluation point before the first and after the last one.
+    Passes over one series, and series of equal length, share the result.
     """
+    known = _KNOWN_WINDOWS.get((n, window, jump, pad))
+    if known is not None:
+        return known
     width = min(window, n)
     step = max(1, min(jump, n - 1))
     points = np.unique(np.append(np.arange(0, n, step), n - 1))
@@ -49,6 +54,9 @@ def _windows(n: int, window: int, jump: int, pad: int):
     distance = np.abs(index - points[:, None])
     ratio = distance / np.where(reach > 0, reach, 1.0)[:, None]
     weight = np.where(ratio <= .001, 1.0, np.where(ratio <= .999, (1 - ratio ** 3) ** 3, 0.0))
+    if len(_KNOWN_WINDOWS) >= 64:
+        _KNOWN_WINDOWS.clear()
+    _KNOWN_WINDOWS[n, window, jump, pad] = points, index, weight
     return points, index, weight
 
 
