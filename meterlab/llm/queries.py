@@ -13,6 +13,7 @@ from .packing import pack
 from .registry import query
 from .sharding import shard
 from .stages import keep
+from .substrings import remove_repeats
 
 
 def table(spark, d, name):
@@ -58,3 +59,9 @@ def op8(spark, d):
 @query("op9_fingerprints")
 def op9(spark, d):
     return fingerprint_documents(table(spark, d, "documents"))
+
+
+@query("op4_substring_dedup")
+def op4(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
