@@ -7,6 +7,7 @@ from pathlib import Path
 
 from .ctph import fingerprint_documents
 from .huffman import read_tokens, write_tokens
+from .jaccard import similar_groups
 from .linefreq import line_frequency
 from .mixing import plan, sized
 from .packing import pack
@@ -65,3 +66,8 @@ def op9(spark, d):
 def op4(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op10_ngram_join")
+def op10(spark, d):
+    return similar_groups(table(spark, d, "documents").select("doc_id", "text")).drop("set_id")
