@@ -8,9 +8,12 @@ from pathlib import Path
 from .ctph import fingerprint_documents
 from .huffman import read_tokens, write_tokens
 from .jaccard import similar_groups
+from .langid import held_out, identify
 from .linefreq import line_frequency
 from .mixing import plan, sized
 from .packing import pack
+from .pulearn import classify
+from .pulearn import train as train_quality
 from .registry import query
 from .sharding import shard
 from .stages import keep
@@ -71,3 +74,17 @@ def op4(spark, d):
 @query("op10_ngram_join")
 def op10(spark, d):
     return similar_groups(table(spark, d, "documents").select("doc_id", "text")).drop("set_id")
+
+
+@query("op5_language")
+def op5(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    found = identify(docs, ~held_out(5, 0))
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op6_quality")
+def op6(spark, d):
+    docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels").select("doc_id", "quality")
+    model = train_quality(docs, labels, ~held_out(4, 2))
+    return classify(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
