@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bytes import BASE, LOWER, join_hashes, mix, slices, span_hashes, utf8, words
 from .components import components
@@ -211,7 +212,7 @@ def _first_pass(docs: DataFrame, parts: int) -> DataFrame:
                 sets, ids = shingle_sets(part)
                 n = pa.array([len(x) for x in sets], pa.int64())
                 rows = len(sets)
-                yield pa.record_batch({"doc_id": part["doc_id"], "n": n, "set_id": pa.array(ids.view(np.int64)),
+                yield pa.record_batch({"doc_id": part["doc_id"], "tag": part["tag"], "n": n, "set_id": pa.array(ids.view(np.int64)),
                                        "part": pa.nulls(rows, pa.int64()), "raw": pa.nulls(rows, pa.int64()), "packed": pa.nulls(rows, pa.binary())})
                 fresh = [i for i in np.unique(ids, return_index=True)[1].tolist() if len(sets[i]) and int(ids[i]) not in sent]
                 if not fresh:
@@ -236,10 +237,10 @@ def _first_pass(docs: DataFrame, parts: int) -> DataFrame:
                     names.append(p)
                     blobs.append((len(load), codec.compress(load, asbytes=True)))
                 rows = len(names)
-                yield pa.record_batch({"doc_id": pa.nulls(rows, pa.int64()), "n": pa.nulls(rows, pa.int64()), "set_id": pa.nulls(rows, pa.int64()),
+                yield pa.record_batch({"doc_id": pa.nulls(rows, pa.int64()), "tag": pa.nulls(rows, pa.int64()), "n": pa.nulls(rows, pa.int64()), "set_id": pa.nulls(rows, pa.int64()),
                                        "part": pa.array(names, pa.int64()), "raw": pa.array([x[0] for x in blobs], pa.int64()), "packed": pa.array([x[1] for x in blobs], pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, set_id bigint, part bigint, raw bigint, packed binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(run, "doc_id bigint, tag bigint, n bigint, set_id bigint, part bigint, raw bigint, packed binary")
 
 
 def _shared(packed: DataFrame) -> DataFrame:
@@ -351,12 +352,15 @@ def _completed(sets: DataFrame, links: DataFrame | None) -> DataFrame | None:
 
 
 def similar_groups(docs: DataFrame, heads: int = HEADS, group: int = GROUP) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the group) and set_id of every row of ``docs``."""
+    """doc_id, n_shingles, component_id (smallest doc_id of the group) and set_id of every row of ``docs``; also
+    __tag (hash of the text) and whether the row stands for its group (the least doc_id, nulls last, then the least
+    hash; every row without words stands for itself)."""
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     first, _ = keep(_first_pass(docs, max(1, math.ceil(total / PART_BYTES))))
-    rows = first.where(F.col("set_id").isNotNull()).select("doc_id", "n", "set_id")
-    classes = rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"))
+    rows = first.where(F.col("set_id").isNotNull()).select("doc_id", "tag", "n", "set_id")
+    classes = rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"),
+                                                             F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("head"))
     shared = _shared(first.where(F.col("packed").isNotNull()).select("part", "raw", "packed"))
     n = F.col("n")
     alpha = F.ceil(n * PERCENT / 100)
@@ -371,8 +375,21 @@ def similar_groups(docs: DataFrame, heads: int = HEADS, group: int = GROUP) -> D
         rooted = classes.withColumn("root", F.col("set_id"))
     else:
         rooted = _with_roots(classes, components(links))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = rooted.select("set_id", "root").join(ids, "root").select(F.col("set_id").alias("__set"), "component_id")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("head").alias("head"))
+    member = rooted.select("set_id", "root").join(ids, "root").select(F.col("set_id").alias("__set"), "component_id", "head")
     out = rows.join(member, rows["set_id"] == member["__set"], "left")
     drop(spark, path)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "set_id")
+    stands = F.coalesce(F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.tag") == F.col("tag")), F.lit(True))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                      "set_id", F.col("tag").alias("__tag"), stands.alias("stands"))
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of similar rows; rows without words all stay."""
+    found = similar_groups(docs).where("stands")
+    kept = found.groupBy(F.col("doc_id").alias("__id"), F.col("__tag").alias("__of")).agg(F.max("n_shingles").alias("__n"))
+    tagged = docs.withColumn("__tag", F.xxhash64("text")).withColumn("__key", F.coalesce("doc_id", F.lit(-1)))
+    on = (F.col("__key") == F.coalesce("__id", F.lit(-1))) & (F.col("__tag") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    alike = Window.partitionBy("__key", "__tag").orderBy(F.lit(0))  # rows equal in id and text: partitioned and sorted so by the join
+    rows = tagged.join(kept, on).withColumn("__turn", F.row_number().over(alike))
+    return rows.where((F.col("__turn") == 1) | (F.col("__n") == 0)).select(*docs.columns)

@@ -73,7 +73,7 @@ def op4(spark, d):
 
 @query("op10_ngram_join")
 def op10(spark, d):
-    return similar_groups(table(spark, d, "documents").select("doc_id", "text")).drop("set_id")
+    return similar_groups(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op5_language")
