@@ -57,8 +57,9 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), epochs:
     Sources in code-point order, null last, have ``weights`` in turn.
     """
     order = [F.col("source").isNull(), F.col("source")]
-    lot = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
-    lots, _ = running(docs.select(*keys, "source", "size", lot.alias("lot")), [*order, F.col("lot")], {"before": "size"})
+    name = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    lot = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint")
+    lots, _ = running(docs.select(*keys, "source", "size", lot.alias("lot")), [*order, F.col("lot"), *[F.col(k) for k in keys]], {"before": "size"})
     sources, _ = keep(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
     ranked, _ = running(sources, order, {"source_before": "source_size"}, count="rank")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))

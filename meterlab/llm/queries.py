@@ -5,6 +5,9 @@ from __future__ import annotations
 from functools import cache
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from . import twins
 from .ctph import fingerprint_documents
 from .huffman import read_tokens, write_tokens
 from .jaccard import similar_groups
@@ -37,21 +40,21 @@ def op1(spark, d):
     return pack(table(spark, d, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-@query("op2_sharding")
+@query("op2_sharding", sql=twins.OP2)
 def op2(spark, d):
     return shard(table(spark, d, "documents"), 24)
 
 
-@query("op3_line_frequency")
+@query("op3_line_frequency", sql=twins.OP3)
 def op3(spark, d):
     return line_frequency(table(spark, d, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left")
 
 
-@query("op7_mixing")
+@query("op7_mixing", sql=twins.OP7)
 def op7(spark, d):
     sizes, _ = keep(sized(table(spark, d, "documents")))
-    return plan(sizes).select("doc_id", "size", "source_size", "target", "taken")
+    return plan(sizes).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 @query("op8_token_file")
@@ -65,13 +68,13 @@ def op9(spark, d):
     return fingerprint_documents(table(spark, d, "documents"))
 
 
-@query("op4_substring_dedup")
+@query("op4_substring_dedup", sql=twins.OP4)
 def op4(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@query("op10_ngram_join")
+@query("op10_ngram_join", sql=twins.OP10)
 def op10(spark, d):
     return similar_groups(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
