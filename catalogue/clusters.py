@@ -55,8 +55,8 @@ def ward_clusters(spark, d):
 
 @query("ward_clusters_rounds", "meter cluster")
 def ward_clusters_rounds(spark, d):
-    """The same cut by distributed rounds down to a few hundred clusters."""
-    return cl.ward_clusters(cl.as_vectors(_features(spark, d), "meter", NAMES), "meter", 0.5, finish_at=100, start=0.03)
+    """The same cut with rounds that begin at a larger merge height."""
+    return cl.ward_clusters(cl.as_vectors(_features(spark, d), "meter", NAMES), "meter", 0.5, start=0.03)
 
 
 @query("cluster_twice", "meter cluster")

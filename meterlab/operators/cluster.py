@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterlab.functions.moments import percentile
-from meterlab.operators.order_stats import attach_stats, null_safe_join
-from meterlab.sources.stages import materialise
+from meterlab.operators.order_stats import attach_stats, null_safe_join, row_numbers
+from meterlab.sources.stages import discard, materialise
 
 OUTLIER = "outlier"
 
@@ -73,8 +73,15 @@ def _squared(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, e: s + e)
 
 
-def _cells(point: str, width, dims: int):
-    return F.array(*[F.floor(F.coalesce(F.get(F.col(point), F.lit(i)), F.lit(0.0)) / width) for i in range(dims)])
+def _cells(point: str, width, axes: Sequence[int]):
+    return F.array(*[F.floor(F.coalesce(F.get(F.col(point), F.lit(i)), F.lit(0.0)) / width) for i in axes])
+
+
+def _widest(vectors: DataFrame, point: str, dims: int) -> list[int]:
+    """The ``dims`` coordinates with the largest range: a grid on them separates points best."""
+    spread = vectors.select(F.posexplode(point).alias("axis", "v")).groupBy("axis").agg((F.max("v") - F.min("v")).alias("range"))
+    found = [r["axis"] for r in spread.orderBy(F.desc_nulls_last("range"), "axis").limit(dims).collect()]
+    return found or list(range(dims))
 
 
 def _around(cell: str, dims: int):
@@ -86,12 +93,14 @@ def _around(cell: str, dims: int):
 def pairs_within(vectors: DataFrame, id_col: str, radius: float, dims: int = 3, salts: int = 16) -> DataFrame:
     """All pairs (i, j, distance) with i < j and Euclidean distance <= ``radius``.
 
-    Points meet only in neighbouring grid cells of the first ``dims``
+    Points meet only in neighbouring grid cells of the ``dims`` widest
     coordinates.  The probing side is salted so a crowded cell spreads over
     ``salts`` tasks.
     """
     width = F.lit(float(radius))
-    base = vectors.withColumn("__cell", _cells("point", width, dims))
+    axes = _widest(vectors, "point", dims)
+    dims = len(axes)
+    base = vectors.withColumn("__cell", _cells("point", width, axes))
     left = base.select(F.col(id_col).alias("i"), F.col("point").alias("__p"),
                        F.explode(_around("__cell", dims)).alias("__cell"),
                        F.pmod(F.xxhash64(id_col), F.lit(salts)).alias("__salt"))
@@ -103,53 +112,29 @@ def pairs_within(vectors: DataFrame, id_col: str, radius: float, dims: int = 3,
 
 # --- Ward ---------------------------------------------------------------------------
 
-def _ward_local(cids: np.ndarray, sizes: np.ndarray, centres: np.ndarray, height: float) -> np.ndarray:
-    """Greedy Ward merges up to ``height`` on a bounded number of clusters."""
-    n = len(cids)
-    label, alive = np.arange(n), np.ones(n, dtype=bool)
-    size, centre = sizes.astype(float).copy(), centres.copy()
-
-    def squared_heights(i: int) -> np.ndarray:
-        gap = ((centre - centre[i]) ** 2).sum(axis=1)
-        out = 2 * size * size[i] / (size + size[i]) * gap
-        out[~alive] = np.inf
-        out[i] = np.inf
-        return out
-
-    table = np.stack([squared_heights(i) for i in range(n)]) if n else np.empty((0, 0))
-    while alive.sum() > 1:
-        i, j = divmod(int(table.argmin()), n)
-        if table[i, j] > height * height:
-            break
-        i, j = min(i, j), max(i, j)
-        centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / (size[i] + size[j])
-        size[i] += size[j]
-        alive[j] = False
-        label[label == j] = i
-        table[j, :] = table[:, j] = np.inf
-        table[i, :] = table[:, i] = squared_heights(i)
-    return cids[label]
-
-
-def _merge_round(state: DataFrame, reach: float, dims: int) -> DataFrame:
+def _merge_round(state: DataFrame, reach: float, axes: Sequence[int], salts: int = 8) -> DataFrame:
     """Reciprocal nearest pairs (keep, gone) whose Ward height is at most ``reach``.
 
     A cluster of size class s (2^s members or more) can only merge within
     reach * 2^(-s/2) of a partner of the same or a larger class, so each class
-    has its own grid width and large clusters are probed in narrow cells only.
+    has its own grid width and large clusters are probed in narrow cells only.  The probing
+    side is salted, so a crowded cell spreads over ``salts`` tasks.
     """
+    dims = len(axes)
     base = state.withColumn("__s", F.floor(F.log2(F.col("size").cast("double"))).cast("int"))
 
     def width(level):
         return F.lit(reach) * F.pow(F.lit(2.0), -F.col(level) / 2.0)
 
-    probe = base.withColumn("__cell", _cells("centre", width("__s"), dims)).select(
+    probe = base.withColumn("__cell", _cells("centre", width("__s"), axes)).select(
         F.col("cid").alias("a"), F.col("size").alias("na"), F.col("centre").alias("ca"),
-        F.col("__s").alias("__level"), F.explode(_around("__cell", dims)).alias("__cell"))
+        F.col("__s").alias("__level"), F.explode(_around("__cell", dims)).alias("__cell"),
+        F.pmod(F.xxhash64("cid"), F.lit(salts)).cast("int").alias("__salt"))
     build = base.withColumn("__level", F.explode(F.sequence(F.lit(0), F.col("__s")))).withColumn(
-        "__cell", _cells("centre", width("__level"), dims)).select(
-        F.col("cid").alias("b"), F.col("size").alias("nb"), F.col("centre").alias("cb"), "__level", "__cell")
-    near = probe.join(build, ["__level", "__cell"]).where(F.col("a") != F.col("b"))
+        "__cell", _cells("centre", width("__level"), axes)).select(
+        F.col("cid").alias("b"), F.col("size").alias("nb"), F.col("centre").alias("cb"), "__level", "__cell",
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    near = probe.join(build, ["__level", "__cell", "__salt"]).where(F.col("a") != F.col("b"))
     squared = 2.0 * F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * _squared("ca", "cb")
     edges = near.withColumn("h2", squared).where(F.col("h2") <= reach * reach).select(
         F.least("a", "b").alias("keep"), F.greatest("a", "b").alias("gone"), "h2").distinct()
@@ -159,38 +144,34 @@ def _merge_round(state: DataFrame, reach: float, dims: int) -> DataFrame:
     return both.where(F.col("c") == 2).select("keep", "gone")
 
 
-def ward_clusters(vectors: DataFrame, id_col: str, height: float, finish_at: int = 1500, dims: int = 3,
-                  start: float | None = None) -> DataFrame:
+def ward_clusters(vectors: DataFrame, id_col: str, height: float, dims: int = 3, start: float | None = None) -> DataFrame:
     """Ward (minimum variance) clusters cut at ``height``: ``(id, cluster)``.
 
     ``cluster`` is the smallest member id.  Ward linkage is reducible, so every
-    reciprocal-nearest pair may be merged at once.  Rounds run at growing merge
-    heights, which keeps candidate cells small: at each height only closer
-    pairs are looked at, and what is left is sparse at that height.  Exact
-    copies collapse first.  Once at most ``finish_at`` clusters remain (a counted
-    bound) the rest is finished in one small task.
+    reciprocal-nearest pair may be merged at once.  Distributed rounds run at growing
+    merge heights until no pair is left below the cut: at each height only closer
+    pairs are looked at, and what is left is sparse at that height.  Exact copies
+    collapse first.  Each round is a stage table; older rounds are deleted.
     """
     copies = vectors.groupBy("point").agg(F.min(id_col).alias("cid"), F.count(F.lit(1)).alias("size"))
     state = materialise(copies.select("cid", "size", F.col("point").alias("centre")))
-    # A cluster or a point with many copies may hold a large share of the ids: salted joins on that side.
+    # A point with many copies may hold a large share of the ids: a salted join.
     home = materialise(attach_stats(vectors, state.select(F.col("centre").alias("point"), "cid"), ["point"]).select(id_col, "cid"))
-    count = state.count()
-    reach = min(height, start if start is not None else height / 1024)
-    while count > finish_at:
-        merges = materialise(_merge_round(state, reach, dims))
+    axes, count = _widest(state, "centre", dims), state.count()
+    reach = min(height, start if start is not None else height / 64)
+    while count > 1:
+        merges = materialise(_merge_round(state, reach, axes))
         merged = merges.count()
-        if merged == 0:
-            if reach >= height:
-                break
-            reach = min(height, reach * 2)
-            continue
-        state, home = _apply_merges(state, home, merges, id_col)
-        if merged * 50 < count:
-            reach = min(height, reach * 2)  # few pairs left this close; any reciprocal pair may merge
+        if merged:
+            new_state, new_home = _apply_merges(state, home, merges, id_col)
+            discard(state, home)
+            state, home = new_state, new_home
+        discard(merges)
+        if not merged and reach >= height:
+            break
+        if merged * 20 < count:
+            reach = min(height, reach * 4)  # few pairs left this close; any reciprocal pair may merge
         count -= merged
-    if 1 < count <= finish_at:
-        finish = _finish(state, height)
-        home = attach_stats(home, finish, ["cid"]).select(id_col, F.col("final").alias("cid"))
     return home.select(id_col, F.col("cid").alias("cluster"))
 
 
@@ -211,20 +192,6 @@ def _apply_merges(state: DataFrame, home: DataFrame, merges: DataFrame, id_col:
     return state, home
 
 
-def _finish(state: DataFrame, height: float) -> DataFrame:
-    """Last merges of a state whose row count was checked to be small."""
-    kind = state.schema["cid"].dataType
-    schema = T.StructType([T.StructField("cid", kind), T.StructField("final", kind)])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cid", kind="stable")
-        cids = pdf["cid"].to_numpy()
-        final = _ward_local(cids, pdf["size"].to_numpy(), np.stack(pdf["centre"].to_list()), height)
-        return pd.DataFrame({"cid": cids, "final": final})
-
-    return state.groupBy(F.lit(0).alias("all")).applyInPandas(run, schema)
-
-
 # --- after the cut ---------------------------------------------------------------------
 
 def small_clusters(df: DataFrame, id_col: str, cluster: str, min_size: int = 100) -> DataFrame:
@@ -234,8 +201,7 @@ def small_clusters(df: DataFrame, id_col: str, cluster: str, min_size: int = 100
     """
     sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("__n"), F.min(id_col).alias("__first"))
     kept = sizes.where(F.col("__n") >= min_size)
-    order = Window.partitionBy(F.lit(0)).orderBy("__first")
-    names = kept.withColumn("__name", F.row_number().over(order).cast("string")).select(cluster, "__name")
+    names = row_numbers(kept, ["__first"], "__name").select(cluster, (F.col("__name") + 1).cast("string").alias("__name"))
     named = attach_stats(df.select(id_col, cluster), names, [cluster])
     return named.select(id_col, cluster, F.coalesce("__name", F.lit(OUTLIER)).alias("label"))
 

@@ -26,6 +26,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlab.sources.stages import materialise
+
 CELLS = 256
 STRIDE = 16
 SKETCH_ACCURACY = 2000
@@ -55,6 +57,23 @@ def attach_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], salts:
     return null_safe_join(salted, copies, [*keys, "__salt"], "left").drop("__salt")
 
 
+def row_numbers(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """0-based row numbers in the order of ``order``, without a one-task sort.
+
+    The range-partitioned rows are written once (bounds differ between evaluations); then only one
+    count per partition is summed centrally and sent back.
+    """
+    rows = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    base, bases = 0, []
+    for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
+        bases.append((r["p"], base))
+        base += r["n"]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(bases, "__p bigint, __base bigint"))  # bound: one row per partition
+    return rows.join(offsets, part == F.col("__p")).withColumn(
+        name, F.col("__base") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__p", "__base")
+
+
 def _edges_upto(value: Column, edge: Callable[[int], Column], low: int, high: int) -> Column:
     """How many of the ascending edges are <= value: a balanced CASE tree, compiled with the stage."""
     if low == high:
