@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalogue import tables as t
 from catalogue.profiles import box_sql, density_sql
 from catalogue.registry import query
+from catalogue.stationary import STATIONARY, stationarised as stationary_rows
 from meterlab.functions.calendar import season_of, temporada_of
 from meterlab.operators import bootstrap as bs, dependence as dep, profiles as pf
 from meterlab.plans import ranking as plan
@@ -213,6 +214,28 @@ def ranking_by_season(spark, d):
     return plan.household_ranking(_seasoned(spark, d), "meter", "ts", "energy", "temperature", 1)
 
 
+@query("ranking_by_season_k24", "meter temporada ranking", "gcc", sql=f"""
+WITH RECURSIVE {SEASON_WEEK},
+{lags_sql('week', 'meter, temporada', 24, 'spearman')},
+{gcc_sql('meter, temporada', 24)}
+SELECT meter, temporada, gcc, rank() OVER (PARTITION BY temporada ORDER BY gcc DESC) AS ranking FROM scores WHERE gcc IS NOT NULL""")
+def ranking_by_season_k24(spark, d):
+    scores = dep.gcc_by_household(_seasoned(spark, d), "meter", "ts", "energy", "temperature", 24)
+    return dep.rank_households(materialise(scores.where("valid")), ["temporada"])
+
+
+@query("ranking_stationary_k24", "meter ranking", "gcc", sql=f"""
+WITH RECURSIVE {STATIONARY},
+{week_sql('stationary')},
+{lags_sql('week', 'meter', 24, 'spearman')},
+{gcc_sql('meter', 24)}
+SELECT meter, gcc, rank() OVER (ORDER BY gcc DESC) AS ranking FROM scores WHERE gcc IS NOT NULL""")
+def ranking_stationary_k24(spark, d):
+    """Stationary, home-masked series -> typical weeks -> GCC over 24 lags -> ranking."""
+    scores = dep.gcc_by_household(stationary_rows(spark, d), "meter", "ts", "energy", "temperature", 24, by_seasons=False)
+    return dep.rank_households(materialise(scores.where("valid")))
+
+
 RANKED = K1 + """,
 ranked_scores AS (
   SELECT meter, gcc, CASE WHEN gcc IS NOT NULL THEN rank() OVER (ORDER BY gcc DESC NULLS LAST) END AS ranking
@@ -347,7 +370,7 @@ series AS (
 sizes AS (SELECT temporada, count(*) AS n, greatest(1, CAST(round(count(*) / 4.0) AS BIGINT)) AS len FROM series GROUP BY 1),
 points AS (
   SELECT temporada, replicate, pos, n, len, pos // len AS block FROM sizes,
-    (SELECT unnest(range(1, {replicates + 1})) AS replicate), (SELECT unnest(range(4000)) AS pos) WHERE pos < n),
+    (SELECT unnest(range(1, {replicates + 1})) AS replicate), (SELECT unnest(range((SELECT max(n) FROM sizes))) AS pos) WHERE pos < n),
 drawn AS (
   SELECT temporada, replicate, pos,
     (CAST('0x' || substr(md5('{seed}:' || replicate || ':' || block), 1, 8) AS BIGINT) % n + pos - block * len) % n AS slot
@@ -385,6 +408,12 @@ def bootstrap_ci_k7(spark, d):
     return bs.percentile_ci(bootstrap_replicates(spark, d, 60, 7), ["temporada"])
 
 
+@query("bootstrap_interval_full", "temporada", "ci_low ci_high")
+def bootstrap_interval_full(spark, d):
+    """The interval at its full 10,000 replicates; its parts are checked at 40 and 60 replicates above."""
+    return plan.bootstrap_interval(_boot_series(spark, d).drop("pos"), "energy", "temperature", replicates=10_000, k=7)
+
+
 @query("bootstrap_histogram", "bin n", "center density", sql=f"""
 WITH {BOOT_K1},
 b AS (SELECT CAST(ceil(gcc / 0.01 - 0.5 - 1e-8) AS BIGINT) AS bin, count(*) AS n FROM scores GROUP BY 1)

@@ -48,10 +48,10 @@ def hourly_mean_strict(spark, d):
 @query("hourly_mean_by_group", "ts acorn_grouped", "energy", sql=f"""
 WITH {t.USER_HOURLY},
 {t.HOUSEHOLDS}
-SELECT ts, acorn_grouped, avg(energy) AS energy FROM user_hourly JOIN households ON meter = id GROUP BY 1, 2""")
+SELECT ts, acorn_grouped, avg(energy) AS energy FROM user_hourly LEFT JOIN households ON meter = id GROUP BY 1, 2""")
 def hourly_mean_by_group(spark, d):
     hh = t.households(spark, d).select(F.col("id").alias("meter"), "acorn_grouped")
-    return pf.mean_by(t.user_hourly(spark, d).join(hh, "meter"), ["ts", "acorn_grouped"], ["energy"])
+    return pf.mean_by(t.user_hourly(spark, d).join(hh, "meter", "left"), ["ts", "acorn_grouped"], ["energy"])
 
 
 @query("daily_mean_by_household", "date meter", "energy", sql=f"""
@@ -71,11 +71,11 @@ def hour_mean_by_home(spark, d):
     return out.withColumn("category", F.when(F.col("is_home"), "at home").when(~F.col("is_home"), "away"))
 
 
-@query("daily_max", "date", "max_temperature", sql=f"""
-WITH {t.WEATHER}
-SELECT CAST(time AS DATE) AS date, max(temperature) AS max_temperature FROM weather GROUP BY 1""")
+@query("daily_max", "date", "max_energy", sql=f"""
+WITH {t.USER_HOURLY}
+SELECT CAST(ts AS DATE) AS date, max(energy) AS max_energy FROM user_hourly GROUP BY 1""")
 def daily_max(spark, d):
-    return pf.daily_max(t.weather(spark, d), "time", "temperature", "max_temperature")
+    return pf.daily_max(t.user_hourly(spark, d), "ts", "energy", "max_energy")
 
 
 @query("daily_population", "date season temporada", "energy temperature max_temperature", sql=f"""
@@ -93,7 +93,7 @@ def daily_population(spark, d):
 WITH {t.USER_HOURLY}
 SELECT CAST(ts AS DATE) AS date, count(DISTINCT meter) AS number_households FROM user_hourly GROUP BY 1""")
 def households_per_day(spark, d):
-    return pf.households_per_day(t.user_hourly(spark, d), "ts", "meter")
+    return pf.households_per_day(t.readings(spark, d), "ts", "meter")
 
 
 @query("mean_var_by_ts", "ts", "mean_value var_value var_standardised", sql=f"""
@@ -104,9 +104,7 @@ SELECT ts, avg(energy) AS mean_value, var_samp(energy) AS var_value, var_samp(z)
 FROM z GROUP BY ts""")
 def mean_var_by_ts(spark, d):
     z = activity.zscore(t.hourly(spark, d), "energy", ["meter"], "z")
-    raw = pf.mean_var_by(z, ["ts"], "energy")
-    std = pf.mean_var_by(z, ["ts"], "z").select("ts", F.col("var_value").alias("var_standardised"))
-    return raw.join(std, "ts")
+    return pf.mean_var_by(z, ["ts"], "energy", var_standardised="z")
 
 
 @query("weekday_hour_profile", "weekday hour", "energy", sql=f"""
@@ -234,12 +232,12 @@ def histogram_by_group(spark, d):
 
 
 @query("histogram_bins", "bin n", "center density", sql=f"""
-WITH {t.WEATHER},
-s AS (SELECT min(temperature) AS lo, (max(temperature) - min(temperature)) / 29.0 AS w FROM weather),
-b AS (SELECT CAST(ceil((temperature - lo) / w - 0.5 - 1e-8) AS BIGINT) AS bin, count(*) AS n FROM weather, s GROUP BY 1)
+WITH {t.USER_HOURLY},
+s AS (SELECT min(energy) AS lo, (max(energy) - min(energy)) / 29.0 AS w FROM user_hourly),
+b AS (SELECT CAST(ceil((energy - lo) / w - 0.5 - 1e-8) AS BIGINT) AS bin, count(*) AS n FROM user_hourly, s GROUP BY 1)
 SELECT bin, n, lo + bin * w AS center, n / (sum(n) OVER () * w) AS density FROM b, s""")
 def histogram_bins(spark, d):
-    return pf.histogram_bins(t.weather(spark, d), "temperature", 30)
+    return pf.histogram_bins(t.user_hourly(spark, d), "energy", 30)
 
 
 def density_sql(src: str, value: str, by: str, points: int = 512, prefix: str = "") -> str:
@@ -343,10 +341,8 @@ WITH {t.HOURLY_WEATHER}
 SELECT 1 AS one, max(temperature) / max(energy) AS coefficient, round(max(temperature) / max(energy)) AS rounded
 FROM hourly_weather""")
 def scale_coefficient(spark, d):
-    rows = t.hourly_weather(spark, d)
-    exact = pf.scale_coefficient(rows, "temperature", "energy")
-    whole = pf.scale_coefficient(rows, "temperature", "energy", rounded=True)
-    return exact.withColumn("rounded", whole.scalar()).withColumn("one", F.lit(1))
+    exact = pf.scale_coefficient(t.hourly_weather(spark, d), "temperature", "energy")
+    return exact.withColumn("rounded", F.round("coefficient")).withColumn("one", F.lit(1))
 
 
 @query("correlation_matrix", "a b", "rho", sql=" UNION ALL ".join(

@@ -100,12 +100,15 @@ t0 AS (SELECT meter, ts, CASE WHEN is_home THEN temperature END AS temperature F
     impute_sql("t1", "t2", "meter, hour(ts)", "temperature", keep=", mark_t1")])
 
 
-@query("stationarised", "meter ts", "energy temperature pct_imputed", sql=f"""
-WITH {_FULL}
-SELECT meter, ts, (energy - avg(energy) OVER w) / nullif(stddev_samp(energy) OVER w, 0) AS energy,
-       (temperature - avg(temperature) OVER w) / nullif(stddev_samp(temperature) OVER w, 0) AS temperature,
-       avg(CASE WHEN mark_e1 OR mark_e2 THEN 1.0 ELSE 0.0 END) OVER w AS pct_imputed
-FROM e2 JOIN t2 USING (meter, ts) WINDOW w AS (PARTITION BY meter)""")
+STATIONARY = _FULL + """,
+stationary AS (
+  SELECT meter, ts, (energy - avg(energy) OVER w) / nullif(stddev_samp(energy) OVER w, 0) AS energy,
+         (temperature - avg(temperature) OVER w) / nullif(stddev_samp(temperature) OVER w, 0) AS temperature,
+         avg(CASE WHEN mark_e1 OR mark_e2 THEN 1.0 ELSE 0.0 END) OVER w AS pct_imputed
+  FROM e2 JOIN t2 USING (meter, ts) WINDOW w AS (PARTITION BY meter))"""
+
+
+@query("stationarised", "meter ts", "energy temperature pct_imputed", sql=f"WITH {STATIONARY} SELECT * FROM stationary")
 def stationarised(spark, d):
     home = activity.detect_home(t.hourly(spark, d), "meter", "ts", "energy").drop("season")
     rows = join_weather(home, t.weather(spark, d), "ts")

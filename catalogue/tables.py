@@ -74,16 +74,16 @@ HOUSEHOLDS = """households AS (
 
 
 def hourly(spark, d):
-    """Non-view events per nation and hour."""
+    """All events per nation and hour."""
     ev, hh = table(spark, d, "events"), households(spark, d).select("id", F.col("acorn").alias("meter"))
-    joined = ev.where(F.col("event_type") != "view").join(hh, ev.user_id == hh.id)
+    joined = ev.join(hh, ev.user_id == hh.id)
     return downsample(joined.select("meter", "ts", F.col("value").alias("energy")), "meter", "ts", "energy")
 
 
 HOURLY = HOUSEHOLDS + """,
 hourly AS (
   SELECT acorn AS meter, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, avg(value) AS energy
-  FROM events JOIN households ON user_id = id WHERE event_type <> 'view' GROUP BY 1, 2)"""
+  FROM events JOIN households ON user_id = id GROUP BY 1, 2)"""
 
 
 def weather(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,17 +44,33 @@ def chi_square(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame:
                       F.when(two, corrected).otherwise(plain).alias("chi2"))
 
 
-def chi_square_p_value(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-square test with p-value (no continuity correction), via the ML test."""
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    from pyspark.ml.stat import ChiSquareTest
+def _upper_tail(chi2: float, dof: int) -> float:
+    """P(X >= chi2) of a chi-square variable: a finite sum of Poisson terms, for odd dof beside the normal tail."""
+    half = chi2 / 2.0
+    if half <= 0:
+        return 1.0
+    if dof % 2 == 0:
+        k, term = 0.0, -half
+        total = math.exp(term)
+    else:
+        k, total = 0.5, math.erfc(math.sqrt(half))
+        term = -half + 0.5 * math.log(half) - math.lgamma(1.5)
+        total += math.exp(term) if dof > 1 else 0.0
+    while k + 1 < dof / 2.0:
+        k += 1
+        term += math.log(half) - math.log(k)
+        total += math.exp(term)
+    return min(1.0, total)
+
+
+def chi_square_p_value(df: DataFrame, a: str, b: str, yates: bool = False) -> DataFrame:
+    """Chi-square test with p-value, from the one row of ``chi_square``; no limit on the number of levels."""
+    @F.udf("double")
+    def tail(chi2, dof):
+        return None if chi2 is None or not dof else _upper_tail(chi2, dof)
 
-    rows = df.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).dropna("any")
-    rows = StringIndexer(inputCols=["a", "b"], outputCols=["ai", "label"]).fit(rows).transform(rows)
-    rows = VectorAssembler(inputCols=["ai"], outputCol="features").transform(rows)
-    test = ChiSquareTest.test(rows, "features", "label", flatten=True)
-    return test.select(F.col("statistic").alias("chi2"), F.col("degreesOfFreedom").cast("bigint").alias("dof"),
-                       F.col("pValue").alias("p_value"))
+    test = chi_square(df, a, b, yates)
+    return test.select("chi2", F.col("dof").cast("bigint").alias("dof"), tail("chi2", "dof").alias("p_value"))
 
 
 def cramers_v(df: DataFrame, a: str, b: str, bias_correct: bool = True) -> DataFrame:

@@ -138,14 +138,64 @@ def _corr(a: np.ndarray, b: np.ndarray, method: str) -> float:
     return float(a @ b / norm) if norm > 0 else np.nan
 
 
+def _row_ranks(m: np.ndarray) -> np.ndarray:
+    """Average ranks along each row; NaN sorts last and keeps a rank nobody looks at."""
+    order = np.argsort(m, axis=1, kind="stable")
+    v = np.take_along_axis(m, order, 1)
+    at = np.broadcast_to(np.arange(m.shape[1]), m.shape)
+    new = np.ones(m.shape, bool)
+    new[:, 1:] = v[:, 1:] != v[:, :-1]
+    first = np.maximum.accumulate(np.where(new, at, 0), axis=1)
+    stop = np.ones(m.shape, bool)
+    stop[:, :-1] = new[:, 1:]
+    last = np.minimum.accumulate(np.where(stop, at, m.shape[1])[:, ::-1], axis=1)[:, ::-1]
+    out = np.empty(m.shape)
+    np.put_along_axis(out, order, (first + last) / 2.0, 1)
+    return out
+
+
+def _row_corr(a: np.ndarray, b: np.ndarray, method: str) -> np.ndarray:
+    """Correlation of each row of ``a`` with that of ``b`` over the places where both are finite."""
+    ok = np.isfinite(a) & np.isfinite(b)
+    n = ok.sum(axis=1)
+    a, b = np.where(ok, a, np.nan), np.where(ok, b, np.nan)
+    if method == "spearman":
+        a, b = _row_ranks(a), _row_ranks(b)
+    count = np.maximum(n, 1)[:, None]
+    a, b = (np.where(ok, v - np.where(ok, v, 0).sum(axis=1, keepdims=True) / count, 0.0) for v in (a, b))
+    norm = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where((n >= 2) & (norm > 0), (a * b).sum(axis=1) / norm, np.nan)
+
+
+def lag_correlations(x: np.ndarray, y: np.ndarray, k: int, method: str) -> tuple[np.ndarray, ...]:
+    """Correlations xx, yy, xy, yx at lags 0..k, all lags as one array operation (kendall: one by one)."""
+    n, lag = len(x), range(k + 1)
+    sides = ((x, x), (y, y), (x, y), (y, x))
+    if method == "kendall":
+        return tuple(np.array([_corr(u[:n - h], v[h:], method) for h in lag]) for u, v in sides)
+    a, b = (np.full((4 * (k + 1), n), np.nan) for _ in range(2))
+    for i, (u, v) in enumerate(sides):
+        for h in lag:
+            a[i * (k + 1) + h, :n - h], b[i * (k + 1) + h, :n - h] = u[:n - h], v[h:]
+    return tuple(_row_corr(a, b, method).reshape(4, k + 1))
+
+
+def _definite(m: np.ndarray) -> bool:
+    try:
+        np.linalg.cholesky((m + m.T) / 2)
+    except np.linalg.LinAlgError:
+        return False
+    return True
+
+
 def gcc_value(x: np.ndarray, y: np.ndarray, k: int, method: str = "pearson") -> tuple[float, bool]:
-    """GCC of two aligned series and whether both determinants are positive."""
+    """GCC of two aligned series and whether their correlation matrices are positive definite."""
     n = len(x)
     if n <= k + 1:
         return np.nan, False
     lag = np.arange(k + 1)
-    xx, yy, xy, yx = (np.array([_corr(u[:n - h], v[h:], method) for h in lag])
-                      for u, v in ((x, x), (y, y), (x, y), (y, x)))
+    xx, yy, xy, yx = lag_correlations(x, y, k, method)
     offset = lag[:, None] - lag
     r_xx, r_yy = xx[abs(offset)], yy[abs(offset)]
     c = np.where(offset >= 0, xy[abs(offset)], yx[abs(offset)])
@@ -160,7 +210,7 @@ def gcc_value(x: np.ndarray, y: np.ndarray, k: int, method: str = "pearson") ->
     (s1, l1), (s0, l0) = np.linalg.slogdet(rest), np.linalg.slogdet(r_yy)
     if s0 == 0 or s1 * s0 <= 0:
         return np.nan, False
-    return float(-np.expm1((l1 - l0) / (k + 1))), bool(s1 > 0)
+    return float(-np.expm1((l1 - l0) / (k + 1))), all(map(_definite, (r_xx, r_yy, rest)))
 
 
 def _gcc_udf(k: int, method: str):

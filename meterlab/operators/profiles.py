@@ -49,8 +49,10 @@ def households_per_day(df: DataFrame, ts: str, key: str) -> DataFrame:
     return pairs.groupBy("date").agg(F.count(key).alias("number_households"))
 
 
-def mean_var_by(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean_value"), F.var_samp(value).alias("var_value"))
+def mean_var_by(df: DataFrame, keys: Sequence[str], value: str, **variances: str) -> DataFrame:
+    """Mean and variance of ``value`` per key, and variances of further columns, in one aggregate."""
+    more = [F.var_samp(c).alias(name) for name, c in variances.items()]
+    return df.groupBy(*keys).agg(F.avg(value).alias("mean_value"), F.var_samp(value).alias("var_value"), *more)
 
 
 def weekday_hour_profile(df: DataFrame, ts: str, value: str) -> DataFrame:
