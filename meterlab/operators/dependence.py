@@ -168,7 +168,7 @@ def _row_corr(a: np.ndarray, b: np.ndarray, method: str) -> np.ndarray:
         return np.where((n >= 2) & (norm > 0), (a * b).sum(axis=1) / norm, np.nan)
 
 
-def lag_correlations(x: np.ndarray, y: np.ndarray, k: int, method: str) -> tuple[np.ndarray, ...]:
+def _array_lags(x: np.ndarray, y: np.ndarray, k: int, method: str) -> tuple[np.ndarray, ...]:
     """Correlations xx, yy, xy, yx at lags 0..k, all lags as one array operation (kendall: one by one)."""
     n, lag = len(x), range(k + 1)
     sides = ((x, x), (y, y), (x, y), (y, x))
@@ -195,7 +195,7 @@ def gcc_value(x: np.ndarray, y: np.ndarray, k: int, method: str = "pearson") ->
     if n <= k + 1:
         return np.nan, False
     lag = np.arange(k + 1)
-    xx, yy, xy, yx = lag_correlations(x, y, k, method)
+    xx, yy, xy, yx = _array_lags(x, y, k, method)
     offset = lag[:, None] - lag
     r_xx, r_yy = xx[abs(offset)], yy[abs(offset)]
     c = np.where(offset >= 0, xy[abs(offset)], yx[abs(offset)])
