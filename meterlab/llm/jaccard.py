@@ -5,15 +5,15 @@
    Two sets that are alike by 0.8 or more share at least min(l) tokens of their l-prefixes, so a class that
    shares fewer tokens than the least l of any partner with anyone has no link.  Only the others, the
    candidates, go on.
-3. Candidates that share one of their ``heads`` least tokens meet in a group.  A group is a trie over their
-   sets in one global order; each set runs down the trie, sharing the overlap of common paths, and leaves a
-   subtree when the remaining lengths can't reach the bound or when it is linked to all below already.
-   Groups are split at ``group`` sets; one set per component and group goes into the next round, until a
-   round finds no link.
+3. Candidates that share their three least tokens in one of ``bands`` orders meet in a group, as alike sets mostly
+   do.  A group is a trie over their sets in one global order; each set runs down the trie, sharing the overlap
+   of common paths, and leaves a subtree when the remaining lengths can't reach the bound or when it is
+   linked to all below already.  Larger groups are split at ``group`` sets, and one set per component of
+   them goes into the next round, until none is split or a round finds no link.
 4. Completion: what is left are pairs in different components.  A token whose sets are all in one component
    can't join two components, so such tokens come first in the global order, then the others from rare to
-   frequent; sets whose prefix has no open token are done.  Pairs that share an open prefix token are run
-   through a trie per set.  No link between different sets is lost, and no group is expanded into its pairs.
+   frequent; sets whose prefix has no open token are done.  Pairs that share an open prefix token are checked
+   one by one.  No link between different sets is lost, and no group is expanded into its pairs.
 
 Null or wordless texts have the empty set and no links; a null doc_id never is a smallest id; repeated rows and
 equal sets share a component; an empty table gives no rows; other columns are ignored.
@@ -36,8 +36,10 @@ from .components import components
 from .stages import drop, keep
 
 WIDTH, PERCENT = 5, 80
-#: Bytes of text per token partition, sets per trie, least tokens that bring candidates together.
-PART_BYTES, GROUP, HEADS = 16 << 20, 512, 3
+#: Bytes of text per token partition, sets per trie, orders whose least tokens bring candidates together.
+PART_BYTES, GROUP, BANDS = 16 << 20, 512, 4
+#: Sets in the groups of one task call, about.
+BUCKET = 2048
 #: Sets a task remembers having sent.
 RECENT = 1 << 20
 #: Tokens compared at once on the way down a trie.
@@ -227,13 +229,13 @@ def _first_pass(docs: DataFrame, parts: int) -> DataFrame:
                 token, owner = token[order], owner[order]
                 to = (token >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
                 edges = np.searchsorted(to, np.arange(parts + 1, dtype=np.uint64))
-                keys = ids[fresh]
+                keys, size_of = ids[fresh], np.array([len(sets[i]) for i in fresh], np.int32)
                 names, blobs = [], []
                 for p in np.flatnonzero(np.diff(edges)).tolist():
                     a, b = edges[p], edges[p + 1]
                     own, slot = np.unique(owner[a:b], return_inverse=True)
                     slot = slot.astype(np.uint16 if len(own) < 1 << 16 else np.uint32)
-                    load = pickle.dumps((np.diff(token[a:b], prepend=np.uint64(0)), slot, keys[own]), protocol=5)
+                    load = pickle.dumps((np.diff(token[a:b], prepend=np.uint64(0)), slot, keys[own], size_of[own]), protocol=5)
                     names.append(p)
                     blobs.append((len(load), codec.compress(load, asbytes=True)))
                 rows = len(names)
@@ -243,54 +245,87 @@ def _first_pass(docs: DataFrame, parts: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(run, "doc_id bigint, tag bigint, n bigint, set_id bigint, part bigint, raw bigint, packed binary")
 
 
-def _shared(packed: DataFrame) -> DataFrame:
-    """set_id and the number of its l-prefix tokens that stand in the l-prefix of another set, per token partition."""
-    def run(group: pa.Table) -> pa.Table:
-        codec = pa.Codec("zstd")
-        tokens, owners = [], []
+def _sharing(packed: DataFrame, parts: int) -> DataFrame:
+    """set_id of the classes that share enough tokens of their l-prefix with other classes to have a link.
+
+    Token partitions count the shared tokens of each class; the counts go on packed, one string for each of
+    ``parts`` ranges of set ids, where they are summed.
+    """
+    def count(group: pa.Table) -> pa.Table:
+        codec = pa.Codec("zstd", 1)
+        tokens, owners, sizes = [], [], []
         for p, r in zip(group["packed"].to_pylist(), group["raw"].to_pylist(), strict=True):
-            token, owner, keys = pickle.loads(codec.decompress(p, r, asbytes=True))
+            token, owner, keys, n = pickle.loads(codec.decompress(p, r, asbytes=True))
             tokens.append(np.cumsum(token, dtype=np.uint64))
             owners.append(keys[owner])
-        token, owner = np.concatenate(tokens), np.concatenate(owners)
+            sizes.append(n[owner])
+        token, owner, n = np.concatenate(tokens), np.concatenate(owners), np.concatenate(sizes)
         order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
+        token, owner, n = token[order], owner[order], n[order]
         edge = np.concatenate([[True], token[1:] != token[:-1], [True]])
         several = ~(edge[:-1] & edge[1:])
-        token, owner = token[several], owner[several]
+        token, owner, n = token[several], owner[several], n[several]
         order = np.lexsort((owner, token))  # a set may come from several tasks: it counts once
-        token, owner = token[order], owner[order]
+        token, owner, n = token[order], owner[order], n[order]
         if len(token):
             once = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])])
-            token, owner = token[once], owner[once]
+            token, owner, n = token[once], owner[once], n[once]
             edge = np.concatenate([[True], token[1:] != token[:-1], [True]])
-            owner = owner[~(edge[:-1] & edge[1:])]
-        keys, count = np.unique(owner, return_counts=True)
-        return pa.table({"set_id": pa.array(keys.view(np.int64)), "shared": pa.array(count, pa.int64())})
+            several = ~(edge[:-1] & edge[1:])
+            owner, n = owner[several], n[several]
+        keys, first, shared = np.unique(owner, return_index=True, return_counts=True)
+        to = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        edges = np.searchsorted(to, np.arange(parts + 1, dtype=np.uint64))
+        names = np.flatnonzero(np.diff(edges)).tolist()
+        loads = [pickle.dumps((keys[edges[p]:edges[p + 1]], shared[edges[p]:edges[p + 1]].astype(np.int32), n[first[edges[p]:edges[p + 1]]]), protocol=5) for p in names]
+        return pa.table({"range": pa.array(names, pa.int64()), "raw": pa.array([len(x) for x in loads], pa.int64()), "packed": pa.array([codec.compress(x, asbytes=True) for x in loads], pa.binary())})
+
+    def total(group: pa.Table) -> pa.Table:
+        codec = pa.Codec("zstd")
+        loads = [pickle.loads(codec.decompress(p, r, asbytes=True)) for p, r in zip(group["packed"].to_pylist(), group["raw"].to_pylist(), strict=True)]
+        keys, shared, n = (np.concatenate(x) for x in zip(*loads, strict=True))
+        keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        shared, n = np.bincount(back, shared), n[first].astype(np.int64)
+        return pa.table({"set_id": pa.array(keys[shared >= prefix_need(n)].view(np.int64))})
 
-    return packed.groupBy("part").applyInArrow(run, "set_id bigint, shared bigint").groupBy("set_id").agg(F.sum("shared").alias("shared"))
+    counted = packed.groupBy("part").applyInArrow(count, "range bigint, raw bigint, packed binary")
+    return counted.groupBy("range").applyInArrow(total, "set_id bigint")
 
 
-def _sets_of(docs: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, bands: int) -> DataFrame:
+    """set_id, tokens (ascending) and keys (of the three least tokens in each of ``bands`` orders)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets, ids = shingle_sets(part)
-                flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                yield pa.record_batch({"set_id": pa.array(ids.view(np.int64)), "tokens": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))})
-
-    return docs.select("text").mapInArrow(run, "set_id bigint, tokens array<bigint>")
-
-
-def _tries(groups: DataFrame) -> DataFrame:
-    """Links of every group of ``groups`` (key, salt, set_id, tokens)."""
-    def run(group: pa.Table) -> pa.Table:
-        ids = group["set_id"].to_pylist()
-        found = trie_links(ids, _arrays(group["tokens"]))
+                keys = np.zeros((len(sets), bands), np.uint64)
+                for i, x in enumerate(sets):
+                    for k in range(bands if len(x) else 0):
+                        h = mix(x ^ np.uint64(0x9E6C63D0876A9A47 * (k + 1) & ((1 << 64) - 1)))
+                        low = np.sort(np.partition(h, 2)[:3]) if len(h) > 3 else np.sort(h)
+                        keys[i, k] = np.bitwise_xor.reduce(mix(low + np.arange(len(low), dtype=np.uint64))) + np.uint64(k)
+                yield pa.record_batch({"set_id": pa.array(ids.view(np.int64)), "tokens": _lists([len(x) for x in sets], np.concatenate(sets) if sets else np.empty(0, np.uint64)),
+                                       "keys": _lists([bands] * len(sets), keys.ravel())})
+
+    return docs.select("text").mapInArrow(run, "set_id bigint, tokens array<bigint>, keys array<bigint>")
+
+
+def _lists(sizes: list[int], flat: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view(np.int64)))
+
+
+def _tries(groups: DataFrame, buckets: int) -> DataFrame:
+    """Links of every group of ``groups`` (key, salt, set_id, tokens); a task call takes a bucket of whole groups."""
+    def run(bucket: pa.Table) -> pa.Table:
+        bucket = bucket.sort_by([("key", "ascending"), ("salt", "ascending"), ("set_id", "ascending")]).combine_chunks()
+        key, salt = bucket["key"].to_numpy(), bucket["salt"].to_numpy()
+        ids, sets = bucket["set_id"].to_pylist(), _arrays(bucket["tokens"])
+        edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]), [True]])).tolist()
+        found = [p for a, b in zip(edges[:-1], edges[1:], strict=True) for p in trie_links(ids[a:b], sets[a:b])]
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return groups.groupBy("key", "salt").applyInArrow(run, "a bigint, b bigint")
+    dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("key", "salt"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(run, "a bigint, b bigint")
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -299,22 +334,26 @@ def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots, rows["set_id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "set_id")).drop("node")
 
 
-def _head_links(sets: DataFrame, heads: int, group: int) -> DataFrame:
-    """Links by rounds of tries over the sets that share one of their least tokens."""
+def _group_links(sets: DataFrame, group: int) -> DataFrame | None:
+    """Links by rounds of tries over the sets that share a key; None without any."""
     spark, links, roots, turn = sets.sparkSession, None, None, 0
-    at = sets.select("set_id", F.explode(F.slice("tokens", 1, heads)).alias("key"))
+    at = sets.select("set_id", F.explode(F.array_distinct("keys")).alias("key"))
     while True:
         # one set per component and group; groups of one have nothing to find
         member = _with_roots(at, roots).groupBy("key", "root").agg(F.min("set_id").alias("set_id"))
-        sized = member.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        sized, sizes = keep(member.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
         salt = F.pmod(F.xxhash64("set_id", "key", F.lit(turn)), F.ceil(F.col("k") / group))
         dealt = member.join(sized, "key").select("key", salt.alias("salt"), "set_id")
-        new, path = keep(_tries(dealt.join(sets.select("set_id", "tokens"), "set_id")))
+        members = sized.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+        new, path = keep(_tries(dealt.join(sets.select("set_id", "tokens"), "set_id"), 1 + members // BUCKET))
         if new.isEmpty():
-            drop(spark, path)
+            drop(spark, path, sizes)
             return links
         links = new if links is None else links.unionByName(new)
-        roots, turn = components(links), turn + 1
+        split = sized.where(F.col("k") > group).select("key")
+        if split.isEmpty():
+            return links
+        at, roots, turn = at.join(split, "key", "left_semi"), components(links), turn + 1
 
 
 def _completed(sets: DataFrame, links: DataFrame | None) -> DataFrame | None:
@@ -327,10 +366,13 @@ def _completed(sets: DataFrame, links: DataFrame | None) -> DataFrame | None:
     left = F.floor(F.col("n") * (100 - PERCENT) / 100) + 1  # length of the prefix; the closed tokens stand first in it
     per = of_open.groupBy("set_id").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("open"))
     prefix = (per.withColumn("take", (left - (F.col("n") - F.size("open"))).cast("int")).where("take > 0")
-              .select("set_id", "n", "root", F.explode(F.slice("open", 1, F.col("take"))["token"]).alias("token")))
+              .select("set_id", "n", "root", F.posexplode(F.slice("open", 1, F.col("take"))["token"]).alias("at", "token"), (F.col("n") - F.size("open")).alias("closed"))
+              .select("set_id", "n", "root", "token", (F.col("n") - F.col("closed") - F.col("at")).alias("rest")))
     rows, held2 = keep(prefix)
-    other = rows.select(F.col("token").alias("u"), F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    pairs = (rows.join(other, (F.col("token") == F.col("u")) & (F.col("root") < F.col("other")) & (F.col("n") * 100 >= F.col("m") * PERCENT) & (F.col("m") * 100 >= F.col("n") * PERCENT))
+    other = rows.select(F.col("token").alias("u"), F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("rest").alias("left"))
+    # at its first common token a linked pair still has enough tokens before it on both sides
+    enough = F.least("rest", "left") * (100 + PERCENT) >= (F.col("n") + F.col("m")) * PERCENT
+    pairs = (rows.join(other, (F.col("token") == F.col("u")) & (F.col("root") < F.col("other")) & enough)
              .select(F.col("set_id").alias("a"), "b").distinct())
     pairs, held3 = keep(pairs)
     if pairs.isEmpty():
@@ -338,39 +380,37 @@ def _completed(sets: DataFrame, links: DataFrame | None) -> DataFrame | None:
         return links
     mine, theirs = (sets.select(F.col("set_id").alias(i), F.col("tokens").alias(t)) for i, t in (("a", "x"), ("b", "y")))
 
-    def run(group: pa.Table) -> pa.Table:
-        ids, out = group["a"].to_pylist(), []
-        b, ys = group["b"].to_pylist(), _arrays(group["y"])
-        x = _arrays(group["x"].slice(0, 1))[0]
-        found = trie_links([*b, ids[0]], [*ys, x])
-        out = [p for p in found]
-        return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
-
-    full = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64))).join(mine, "a").join(theirs, "b")
-    new, _ = keep(full.groupBy("a", "salt").applyInArrow(run, "a bigint, b bigint"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(_arrays(batch["x"]), _arrays(batch["y"]), strict=True):
+                at = np.searchsorted(x, y)
+                common = int(np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y))
+                linked.append((100 + PERCENT) * common >= PERCENT * (len(x) + len(y)))
+            yield pa.record_batch({"a": batch["a"], "b": batch["b"]}).filter(pa.array(linked, pa.bool_()))
+
+    new, _ = keep(pairs.join(mine, "a").join(theirs, "b").mapInArrow(run, "a bigint, b bigint"))
     return new if links is None else links.unionByName(new)
 
 
-def similar_groups(docs: DataFrame, heads: int = HEADS, group: int = GROUP) -> DataFrame:
+def similar_groups(docs: DataFrame, bands: int = BANDS, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the group) and set_id of every row of ``docs``; also
     __tag (hash of the text) and whether the row stands for its group (the least doc_id, nulls last, then the least
     hash; every row without words stands for itself)."""
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    first, _ = keep(_first_pass(docs, max(1, math.ceil(total / PART_BYTES))))
+    parts = max(1, math.ceil(total / PART_BYTES))
+    first, _ = keep(_first_pass(docs, parts))
     rows = first.where(F.col("set_id").isNotNull()).select("doc_id", "tag", "n", "set_id")
     classes = rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"),
                                                              F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("head"))
-    shared = _shared(first.where(F.col("packed").isNotNull()).select("part", "raw", "packed"))
-    n = F.col("n")
-    alpha = F.ceil(n * PERCENT / 100)
-    need = F.floor(alpha * (100 - PERCENT) / 100) + 1
-    candidates, _ = keep(classes.join(shared, "set_id").where(F.col("shared") >= need).select("set_id", "least"))
+    sharing = _sharing(first.where(F.col("packed").isNotNull()).select("part", "raw", "packed"), parts)
+    candidates, _ = keep(classes.join(sharing, "set_id").select("set_id", "least"))
     one = candidates.select(F.col("least").alias("__id")).distinct()
     texts = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    found = _sets_of(texts).join(candidates.select("set_id"), "set_id").groupBy("set_id").agg(F.first("tokens").alias("tokens"))
+    found = _sets_of(texts, bands).join(candidates.select("set_id"), "set_id").groupBy("set_id").agg(F.first("tokens").alias("tokens"), F.first("keys").alias("keys"))
     sets, path = keep(found)
-    links = _completed(sets, _head_links(sets, heads, group))
+    links = _completed(sets, _group_links(sets, group))
     if links is None:
         rooted = classes.withColumn("root", F.col("set_id"))
     else:
@@ -379,7 +419,7 @@ def similar_groups(docs: DataFrame, heads: int = HEADS, group: int = GROUP) -> D
     member = rooted.select("set_id", "root").join(ids, "root").select(F.col("set_id").alias("__set"), "component_id", "head")
     out = rows.join(member, rows["set_id"] == member["__set"], "left")
     drop(spark, path)
-    stands = F.coalesce(F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.tag") == F.col("tag")), F.lit(True))
+    stands = F.col("head").isNull() | (F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.tag") == F.col("tag")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
                       "set_id", F.col("tag").alias("__tag"), stands.alias("stands"))
 
