@@ -132,12 +132,12 @@ class _Sender:
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         names, blobs = [], []
-        codec = pa.Codec("zstd", 1)
+        codec = pa.Codec("zstd", 3)
         for i, j in zip(edges, np.append(edges[1:], len(order)), strict=True):
             own = order[i:j]
             sent, told = own[~known[own]], own[known[own]]
             lo, hi = at[begin[sent]], at[begin[sent] + size[sent]]
-            load = pickle.dumps((flat[ranges(lo, hi - lo)].tobytes(), size[sent].astype(np.int32), doc_id[sent], tag[sent], start[sent].astype(np.int32),
+            load = pickle.dumps((flat[ranges(lo, hi - lo)].tobytes(), size[sent].astype(np.int32), doc_id[sent], tag[sent].astype(np.int32), start[sent].astype(np.int32),
                                  np.stack([doc_id[told], tag[told], start[told], start[told] + size[told]])), protocol=5)
             names.append(int(bucket[own[0]]))
             blobs.append((len(load), codec.compress(load, asbytes=True)))
@@ -208,7 +208,7 @@ def repeated_windows(parts: list[tuple], window: int) -> np.ndarray:
 SPANS = "doc_id bigint, __tag bigint, first bigint, stop bigint"
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, mini: int = 5) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 20, mini: int = 4) -> DataFrame:
     """Word spans of ``docs`` (doc_id, text, __tag) covered by windows that also start earlier."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     spread = (window - mini + 2) / 2  # mean number of windows in a super-k-mer
@@ -231,13 +231,13 @@ def repeated_spans(docs: DataFrame, window: int = 20, mini: int = 5) -> DataFram
     return (docs.mapInArrow(send, "bucket bigint, raw bigint, packed binary").groupBy("bucket").applyInArrow(count, SPANS))
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, mini: int = 5, all_joined: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, mini: int = 4, all_joined: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, ...) without repeated words; also n_words, n_removed, kept_sha256.
 
     Kept words are joined by one blank in the texts that lost words, with ``all_joined`` in all.
     ``kept_sha256`` is of the joined words in either case.
     """
-    tagged = docs.withColumn("__tag", F.xxhash64("text"))
+    tagged = docs.withColumn("__tag", F.hash("text").cast("bigint"))  # 32 bits: tells rows of one doc_id apart
     spans = repeated_spans(tagged.select("doc_id", "text", "__tag"), window, mini)
     listed = spans.groupBy(F.col("doc_id").alias("__id"), F.col("__tag").alias("__of")).agg(
         F.collect_list("first").alias("__first"), F.collect_list("stop").alias("__stop"))  # bounded by the document itself
