@@ -288,7 +288,7 @@ def _odd(text: pa.Array, plain: np.ndarray) -> list:
 
 def calibrate(scored: DataFrame, langs: list[str]) -> list[tuple[float, float, float]]:
     """Of each language over ``scored`` training rows: mean entropy, and the variances between documents and of one symbol."""
-    true = scored.where(F.col("__lang").isNotNull() & (F.col("lang") == F.element_at(F.array(*[F.lit(x) for x in langs]), F.col("__lang") + 1)))
+    true = scored.where(F.col("__lang").isNotNull() & (F.col("lang") == F.element_at(F.array(*[F.lit(x) for x in langs]), F.coalesce("__lang", F.lit(0)) + 1)))
     n, e = F.col("__symbols").cast("double"), F.col("__entropy")
     rows = {r["__lang"]: r for r in true.groupBy("__lang").agg(
         F.avg(e).alias("mean"), F.var_pop(e).alias("between"), F.avg(n * e * e).alias("a"), F.avg(n * e).alias("b"), F.avg(n).alias("c")).collect()}  # one row per language
@@ -303,10 +303,11 @@ def verdicts(scored: DataFrame, langs: list[str], norms: list[tuple[float, float
     """lang_pred, score and rejected in place of the raw scores."""
     if not langs:
         return scored.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": F.lit(True)}).drop(*[f.name for f in SCORED])
-    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("__lang") + 1)
+    named = F.col("__lang").isNotNull()
+    pick = lambda xs: F.when(named, F.element_at(F.array(*[F.lit(x) for x in xs]), F.coalesce("__lang", F.lit(0)) + 1))
     mean, between, symbol = (pick(x) for x in zip(*norms, strict=True))
-    far = F.col("__entropy") - mean > reject * F.sqrt(between + symbol / F.col("__symbols"))
-    return scored.withColumns({"lang_pred": F.coalesce(pick(langs), F.lit("und")), "score": F.coalesce("__score", F.lit(0.0)), "rejected": F.coalesce(far, F.lit(True))}).drop(*[f.name for f in SCORED])
+    far = F.col("__entropy") - mean > reject * F.sqrt(between + symbol / F.greatest(F.col("__symbols"), F.lit(1)))
+    return scored.withColumns({"lang_pred": F.coalesce(pick(langs), F.lit("und")), "score": F.coalesce("__score", F.lit(0.0)), "rejected": ~named | far}).drop(*[f.name for f in SCORED])
 
 
 def identify(docs: DataFrame, training: Column, reject: float = 10.0) -> DataFrame:
