@@ -13,9 +13,12 @@ from pyspark.sql import types as T
 
 from meterlab.functions.moments import percentile
 from meterlab.operators.order_stats import attach_stats, null_safe_join, row_numbers
+from meterlab.operators.preparation import MOTIVE_MISSING, MOTIVE_OUTLIERS
 from meterlab.sources.stages import discard, materialise
 
 OUTLIER = "outlier"
+# The two group codes without a class.
+DROPPED_GROUPS = ("ACORN-", "ACORN-U")
 
 
 # --- features ---------------------------------------------------------------------
@@ -188,7 +191,7 @@ def _apply_merges(state: DataFrame, home: DataFrame, merges: DataFrame, id_col:
         F.transform(F.get("__parts", F.lit(0))["centre"], lambda v: v * F.get(F.col("__parts"), F.lit(0))["__share"]),
         lambda acc, p: F.zip_with(acc, p["centre"], lambda u, v: u + v * p["__share"]))
     state = materialise(halves.select("cid", "size", blend.alias("centre")))
-    home = materialise(attach_stats(home, target, ["cid"]).select(id_col, F.coalesce("__to", "cid").alias("cid")))
+    home = materialise(null_safe_join(home, target, ["cid"], "left").select(id_col, F.coalesce("__to", "cid").alias("cid")))
     return state, home
 
 
@@ -280,14 +283,14 @@ def cluster_twice(series: DataFrame, key: str, ts: str, value: str, first_height
 
 def household_flags(households: DataFrame, id_col: str, removed: DataFrame, heavily_imputed: DataFrame,
                     cluster_outliers: DataFrame, clusters: DataFrame, group: str,
-                    dropped_groups: Sequence[str] = ("ACORN-", "ACORN-U")) -> DataFrame:
+                    dropped_groups: Sequence[str] = DROPPED_GROUPS) -> DataFrame:
     """Household table with the four removal reasons, ``remove`` and ``cluster``.
 
     ``removed`` has (id_removed, motive); the other inputs carry ``id_col``.
     """
     reasons = removed.groupBy(F.col("id_removed").alias(id_col)).agg(
-        F.max((F.col("motive") == "Outlier Excess").cast("int")).alias("__o"),
-        F.max((F.col("motive") == "NA excess").cast("int")).alias("__n"))
+        F.max((F.col("motive") == MOTIVE_OUTLIERS).cast("int")).alias("__o"),
+        F.max((F.col("motive") == MOTIVE_MISSING).cast("int")).alias("__n"))
     out = households.join(reasons, id_col, "left")
     for name, ids in (("__i", heavily_imputed), ("__c", cluster_outliers)):
         out = out.join(ids.select(id_col).distinct().withColumn(name, F.lit(1)), id_col, "left")

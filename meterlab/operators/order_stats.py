@@ -233,7 +233,7 @@ def population_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str
     places = value_positions(df, value, by, cells)
     place = (F.col("total") - F.col("below") - F.col("copies") + 1) if descending else F.col("below") + 1
     places = places.select(*by, F.col("value").alias(value), place.cast("bigint").alias(name))
-    return attach_stats(df, places, [*by, value])
+    return null_safe_join(df, places, [*by, value], "left")  # places are as many as values: copies per salt would multiply them
 
 
 

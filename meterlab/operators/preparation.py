@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from meterlab.functions.calendar import trunc_to
 from meterlab.functions.moments import percentile
-from meterlab.operators.order_stats import attach_stats, exact_quantiles, null_safe_join, with_stats
+from meterlab.operators.order_stats import exact_quantiles, null_safe_join, with_stats
 
+# The texts of the two removal motives.
 MOTIVE_MISSING = "NA excess"
 MOTIVE_OUTLIERS = "Outlier Excess"
 
@@ -136,7 +137,7 @@ def impute_hour_mean(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     fill = hourly.select(key, "__hour", F.coalesce("__mean", overall).alias("__fill"))
     known = df.where(F.col(value).isNotNull())
     gaps = keyed.where(F.col(value).isNull())
-    filled = attach_stats(gaps, fill, [key, "__hour"]).withColumn(value, F.col("__fill"))
+    filled = null_safe_join(gaps, fill, [key, "__hour"], "left").withColumn(value, F.col("__fill"))
     return known.unionByName(filled.select(*df.columns))
 
 

@@ -123,8 +123,8 @@ def impute_two_layers(df: DataFrame, key: Sequence[str], ts: str, cols: Sequence
     work = impute_outliers(work, cols, [*base, "__hour"], "__second_")
     if share_of is not None:
         changed = (F.col(f"__first_{share_of}") | F.col(f"__second_{share_of}")).cast("double")
-        group = Window.partitionBy(*base) if base else Window.partitionBy(F.lit(0))
-        work = work.withColumn(share_name, F.avg(changed).over(group))
+        share = F.avg(changed).over(Window.partitionBy(*base)) if base else work.agg(F.avg(changed)).scalar()
+        work = work.withColumn(share_name, share)
     return work.drop("__quarter", "__hour", *[f"__first_{c}" for c in cols], *[f"__second_{c}" for c in cols])
 
 
