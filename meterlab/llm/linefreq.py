@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from .mixing import GAPS, count_words
 from .stages import keep
 
-SYMBOLS = "#*$%&|<>"
-BLANK = "\t\n\x0b\x0c\r "
+SYMBOLS, VISIBLE = "[#*$%&|<>]", r"[^\x20\x09-\x0D]"
 #: Copies of a frequent line in the join with the documents, so that no task gets all rows of one line.
 SALTS = 16
 
@@ -57,12 +56,12 @@ def repeated_words(words: Column, width: int = 5) -> Column:
 def base_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, the counts, ``base_failed``, ``__host`` and ``__lines`` (hash and words of each line with a word)."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANK, "") != "")
-    key = lambda x: F.xxhash64(F.col(host), F.trim(F.regexp_replace(F.lower(F.translate(x, BLANK, " " * len(BLANK))), " {2,}", " ")))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(VISIBLE))
+    key = lambda x: F.xxhash64(F.col(host), F.trim(F.regexp_replace(F.lower(x), GAPS, " ")))
     found = docs.select(
         "doc_id", F.col(host).alias("__host"), count_words(text).alias("n_words"),
-        F.length(F.translate(text, BLANK, "")).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.regexp_replace(text, GAPS, "")).cast("bigint").alias("word_chars"),
+        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         repeated_words(words_of(text)).cast("bigint").alias("n_repeat_words"),
         F.transform(lines, lambda x: F.struct(key(x).alias("key"), count_words(x).cast("int").alias("n"))).alias("__lines"))
