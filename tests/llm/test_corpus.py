@@ -148,8 +148,9 @@ def test_similar_groups_lose_no_link(spark, bands, group):
 
         sets = jaccard._sets_of(spark.createDataFrame(rows, "doc_id bigint, text string"), 1).dropDuplicates(["set_id"])
         links = jaccard._completed(sets, None)
-        ids = {int(np.uint64(i).view(np.int64)): k for k, i in enumerate(jaccard.shingle_sets(pa.record_batch({"text": pa.array(texts)}))[1])}
-        parent = list(range(len(texts)))
+        numbers = jaccard.shingle_sets(pa.record_batch({"text": pa.array(texts)}))[1].view(np.int64).tolist()
+        ids = {x: k for k, x in reversed(list(enumerate(numbers)))}
+        parent = [ids[x] for x in numbers]  # equal texts are one class
 
         def find(i):
             while parent[i] != i:
