@@ -407,7 +407,8 @@ def similar_groups(docs: DataFrame, bands: int = BANDS, group: int = GROUP) -> D
     sharing = _sharing(first.where(F.col("packed").isNotNull()).select("part", "raw", "packed"), parts)
     candidates, _ = keep(classes.join(sharing, "set_id").select("set_id", "least"))
     one = candidates.select(F.col("least").alias("__id")).distinct()
-    texts = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # hashed at every size: the texts are neither sorted nor is the plan another one on small inputs
+    texts = docs.select("doc_id", "text").join(one.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     found = _sets_of(texts, bands).join(candidates.select("set_id"), "set_id").groupBy("set_id").agg(F.first("tokens").alias("tokens"), F.first("keys").alias("keys"))
     sets, path = keep(found)
     links = _completed(sets, _group_links(sets, group))
