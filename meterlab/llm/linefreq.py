@@ -1,8 +1,10 @@
 """Quality rules and cross-document line frequency.
 
 Lines that stand in too many documents of one host (navigation, licences, disclaimers) are removed: more than
-``min_docs`` documents and more than ``share`` of the host's.  A document is rejected if its base rules fail or
-if the removal depletes it: fewer than ``min_words`` words left, or less than ``min_left`` of its words.
+``min_docs`` documents and more than ``share`` of the host's, or, if given, more than ``always`` documents
+whatever the host's size.  The first two alone can't judge hosts of up to ``min_docs`` documents, and ask more of
+a line the larger its host is.  A document is rejected if its base rules fail or if the removal depletes it:
+fewer than ``min_words`` words left, or less than ``min_left`` of its words.
 
 Native: built-in column functions only.  Lines are compared by the hash of (host, lower-cased line with single
 blanks); a line counts once per document.  Null text has no words (its base rule fails); null hosts are one
@@ -70,13 +72,16 @@ def base_rules(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def line_frequency(docs: DataFrame, host: str = "source", min_docs: int = 50, share: float = 0.05, min_words: int = 10,
-                   min_left: float = 0.3) -> DataFrame:
+                   min_left: float = 0.3, always: int | None = None) -> DataFrame:
     """The counts and verdicts of every document: n_left is what the removal of frequent lines leaves."""
     rules, _ = keep(base_rules(docs, host).withColumn("__row", F.monotonically_increasing_id()))
     seen = rules.select("__host", F.explode(F.array_distinct(F.transform("__lines", lambda x: x["key"]))).alias("key"))
-    often = seen.groupBy("__host", "key").count().where(F.col("count") > min_docs)
+    often = seen.groupBy("__host", "key").count().where(F.col("count") > (min_docs if always is None else min(min_docs, always)))
     hosts = rules.groupBy(F.col("__host").alias("__of")).agg(F.count(F.lit(1)).alias("__docs"))
-    limited = often.join(hosts, often["__host"].eqNullSafe(hosts["__of"])).where(F.col("count") > F.col("__docs") * share)
+    frequent = (F.col("count") > min_docs) & (F.col("count") > F.col("__docs") * share)
+    if always is not None:
+        frequent = frequent | (F.col("count") > always)
+    limited = often.join(hosts, often["__host"].eqNullSafe(hosts["__of"])).where(frequent)
     common = limited.select(F.col("key").alias("__key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
     lines = rules.select("__row", F.explode("__lines").alias("x")).select("__row", F.col("x.key").alias("key"), F.col("x.n").alias("n"))
     cut = (lines.join(common, (lines["key"] == common["__key"]) & (F.pmod("__row", F.lit(SALTS)) == common["__salt"]), "left_semi")

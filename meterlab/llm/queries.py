@@ -51,6 +51,13 @@ def op3(spark, d):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left")
 
 
+@query("op3_line_frequency_any_host", sql=twins.OP3_ANY_HOST)
+def op3_any_host(spark, d):
+    """Three documents and 5 % of the host's, or more than 50 documents in a host of any size."""
+    return line_frequency(table(spark, d, "documents"), min_docs=2, always=50).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left")
+
+
 @query("op7_mixing", sql=twins.OP7)
 def op7(spark, d):
     sizes, _ = keep(sized(table(spark, d, "documents")))

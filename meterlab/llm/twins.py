@@ -59,6 +59,8 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(length(array_to_string(w
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_left >= 10 AND n_left >= n_words * 0.3 AS kept, CAST(n_left AS BIGINT) AS n_left
 FROM rules"""
 
+OP3_ANY_HOST = OP3.replace("c > 50 AND c > d * 0.05", "c > 50 OR (c > 2 AND c > d * 0.05)")
+
 OP4 = f"""
 WITH docs AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
 windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM docs, unnest(range(1, len(ws) - 18)) t(i)),

@@ -14,6 +14,7 @@ from llm import brute
 from llm.conftest import SCHEMA, messy_rows, prose, rows_of
 from pyspark.sql import functions as F
 
+from meterlab.llm import twins
 from meterlab.llm.components import components
 from meterlab.llm.ctph import edited, fingerprint_documents, of_texts
 from meterlab.llm.jaccard import Trie, one_per_group, similar_groups, trie_links
@@ -85,6 +86,22 @@ def test_frequent_lines_deplete(spark):
     assert all(got[i].n_left == 28 for i in range(20, 23))  # three documents of the host are not above the limit
 
 
+def test_frequent_lines_in_hosts_of_any_size(spark):
+    rng = random.Random(8)
+    spread = {"small": (20, {"m2": 2, "m3": 3}), "mid": (100, {"m5": 5, "m6": 6}), "hot": (1200, {"h50": 50, "h51": 51})}
+    rows, want = [], {}
+    for host, (n, lines) in spread.items():
+        for i in range(n):
+            held = [f"{name} {host} line in common" for name, k in lines.items() if i < k]
+            gone = [x for x in held if x[:2] == "m3" or x[:2] == "m6" or x[:3] == "h51"]
+            want[len(rows)] = 40 + 5 * (len(held) - len(gone))
+            rows.append((len(rows), "\n".join([*held, prose(rng, 40)]), None, host, 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.n_left for r in line_frequency(docs, min_docs=2, always=50).collect()}
+    assert got == want
+    assert twins.OP3_ANY_HOST != twins.OP3
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 50), min_size=20, max_size=40), st.integers(1, 20))
 def test_sliding_least(values, width):
