@@ -5,7 +5,8 @@ bits, so a gram is a 60-bit number.  Grams are counted over all training text; l
 counts, the discount of each order is n1 / (n1 + 2 n2).  The finished probabilities (stored grams) and back-off
 weights (stored contexts) are sorted arrays searched by gram.  A document gets the language of the lowest cross-
 entropy per character; it is rejected where that entropy lies more than ``reject`` deviations above its
-language's mean.  The squared deviation is that between the training documents plus that of one symbol over the length.
+language's median.  The squared deviation is that between the training documents plus that of one symbol over the
+length, both by quantiles: junk with a lang label widens them little up to a tenth of a language's documents.
 
 Grams rarer than ``rare`` of their order's counts are dropped from the finished model, which bounds it by
 1 / rare grams an order and language: the model is the only thing sent to all tasks.
@@ -37,6 +38,10 @@ RARE = 2.0 ** -20
 HELD = 4 << 20
 #: Words whose scores a task remembers, times the number of languages.
 PLACES = 1 << 21
+#: Cells of a nat in which entropies are counted; the quantile that tells their spread, and its place in a normal distribution.
+CELLS, UPPER, UPPER_DEVIATION = 1000, 0.8, 0.8416
+#: Least variance of a symbol, in squared nats, where most short texts of a language are alike.
+LEAST_SYMBOL = 1.0
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[0x80:] = True
 
@@ -287,15 +292,30 @@ def _odd(text: pa.Array, plain: np.ndarray) -> list:
 
 
 def calibrate(scored: DataFrame, langs: list[str]) -> list[tuple[float, float, float]]:
-    """Of each language over ``scored`` training rows: mean entropy, and the variances between documents and of one symbol."""
-    true = scored.where(F.col("__lang").isNotNull() & (F.col("lang") == F.element_at(F.array(*[F.lit(x) for x in langs]), F.coalesce("__lang", F.lit(0)) + 1)))
-    n, e = F.col("__symbols").cast("double"), F.col("__entropy")
-    rows = {r["__lang"]: r for r in true.groupBy("__lang").agg(
-        F.avg(e).alias("mean"), F.var_pop(e).alias("between"), F.avg(n * e * e).alias("a"), F.avg(n * e).alias("b"), F.avg(n).alias("c")).collect()}  # one row per language
+    """Of each language over ``scored`` training rows: median entropy, and the variances between documents and of one symbol.
+
+    Spreads are distances from the median to the ``UPPER`` quantile, so the junk that is to be rejected doesn't widen
+    them.  The part of the shorter half of the documents that goes beyond the spread of all is that of their symbols.
+    Equal texts count once.  Quantiles are exact over cells, of which there is a bounded number.
+    """
+    named = F.element_at(F.array(*[F.lit(x) for x in langs]), F.coalesce("__lang", F.lit(0)) + 1)
+    true = scored.where(F.col("__lang").isNotNull() & (F.col("lang") == named)).select(
+        "__lang", F.round(F.col("__entropy") * CELLS).cast("int").alias("e"), F.col("__symbols").alias("n"), "__entropy").distinct()
+    true, path = keep(true.withColumn("size", F.round(F.log2("n") * 8).cast("int")))
+    over = lambda rows: {r["__lang"]: r for r in rows.groupBy("__lang").agg(
+        F.percentile("e", 0.5).alias("mid"), F.percentile("e", UPPER).alias("upper"), F.percentile("size", 0.5).alias("size")).collect()}  # one row per language
+    rows = over(true)
+    half = F.element_at(F.array(*[F.lit(rows[i]["size"] if i in rows else 0.0) for i in range(len(langs))]), F.col("__lang") + 1)
+    shorter = over(true.where(F.col("size") <= half))
+    drop(scored.sparkSession, path)
     out = []
     for i in range(len(langs)):
-        r = rows.get(i)
-        out.append((r["mean"], r["between"], max(r["a"] - 2 * r["mean"] * r["b"] + r["mean"] ** 2 * r["c"], 0.0)) if r else (float("inf"), 0.0, 0.0))
+        if i not in rows:
+            out.append((float("inf"), 0.0, 0.0))
+            continue
+        mean = rows[i]["mid"] / CELLS
+        between, short = ((max(r["upper"] / CELLS - mean, 0.0) / UPPER_DEVIATION) ** 2 for r in (rows[i], shorter[i]))
+        out.append((mean, between, max((short - between) * 2 ** (shorter[i]["size"] / 8), LEAST_SYMBOL)))
     return out
 
 

@@ -299,6 +299,27 @@ def test_languages(spark, messy, empty, clashing):
     assert identify(empty, everywhere).count() == 0 and keep_identified(empty).count() == 0
 
 
+def test_labelled_gibberish_is_rejected(spark):
+    rng = random.Random(6)
+    clean = language_rows(600)
+    noise = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    junk = [(1000 + i, " ".join(noise() for _ in range(rng.randrange(30, 80))), "aabbcc"[i % 3 * 2:][:2], "s", 0) for i in range(30)]
+    docs = spark.createDataFrame(clean + junk, SCHEMA)
+    assert {r.doc_id for r in keep_identified(docs).collect()} == {r[0] for r in clean}
+    got = identify(docs, F.col("doc_id") % 5 != 0).collect()
+    assert {r.doc_id for r in got if r.rejected} == {r[0] for r in junk}
+
+
+def test_copies_do_not_make_others_rejected(spark):
+    rng = random.Random(7)
+    clean = language_rows(300)
+    words = clean[0][1].split()
+    near = [(1000 + i, " ".join([*words, rng.choice(words)]), clean[0][2], "s", 0) for i in range(300)]
+    same = [(2000 + i, *clean[1][1:]) for i in range(600)]
+    rows = clean + near + same
+    assert keep_identified(spark.createDataFrame(rows, SCHEMA)).count() == len(rows)
+
+
 def test_quality(spark, messy, empty, clashing):
     rng = random.Random(4)
     rows, labels = [], []
