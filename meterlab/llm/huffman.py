@@ -1,10 +1,11 @@
 """Token ids as length-limited canonical Huffman codes, in blocks that decode on their own.
 
-File format: one Parquet row per block.  ``first`` is the number of ids before the block in the whole file,
+File format: a folder of two Parquet tables.  ``codes`` is the code book: id and code length of each id in use,
+the codes follow from the lengths.  ``blocks`` has one row per block.  ``first`` is the number of ids before the block in the whole file,
 ``n_ids`` its ids, ``doc_ids`` and ``doc_sizes`` its documents, ``bits`` the codes one after the other (most
 significant bit first), ``checkpoints`` the bit offset of every ``CHECK``-th id as little-endian 32-bit
 deltas.  A block holds whole documents, about ``BLOCK`` ids; one checkpoint is enough to begin decoding, so a
-reader may start inside long documents.  The code book is the list of code lengths by id; codes follow from it.
+reader may start inside long documents.
 
 Null text counts as empty (only the end id); equal doc_ids are documents of their own, in the order of their
 texts; an empty table gives no blocks; other columns are ignored.
@@ -29,6 +30,7 @@ BLOCK, CHECK = 1 << 16, 128
 #: Longest code; two to this power must be at least the number of ids in use.
 MAX_BITS = 18
 BLOCK_SCHEMA = "first bigint, n_ids bigint, doc_ids array<bigint>, doc_sizes array<bigint>, bits binary, checkpoints binary"
+CODE_SCHEMA = "id int, length int"
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -207,13 +209,28 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, max_bits: int = M
                 yield pa.record_batch({k: pa.array(v, t) for k, t, v in zip(names, kinds, zip(*rows, strict=True), strict=True)})
 
     path = path or stage_path(spark)
-    tokens.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
+    tokens.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+    used = np.flatnonzero(lengths)
+    book = pa.table({"id": pa.array(used, pa.int32()), "length": pa.array(lengths[used], pa.int32())})
+    spark.createDataFrame(book, CODE_SCHEMA).coalesce(1).write.parquet(f"{path}/codes")
     drop(spark, held)
     return path, lengths
 
 
-def read_tokens(spark: SparkSession, path: str, lengths: np.ndarray, with_ids: bool = True) -> DataFrame:
-    """The documents of a file of blocks: doc_id, start, n_tokens, ids_crc32 and, if wanted, the ids (32-bit, little-endian)."""
+def read_lengths(spark: SparkSession, path: str) -> np.ndarray:
+    """The code book of a file: code lengths by id, 0 for ids not in use."""
+    book = spark.read.schema(CODE_SCHEMA).parquet(f"{path}/codes").toPandas()  # one row per id
+    lengths = np.zeros(int(book["id"].max()) + 1 if len(book) else 1, np.uint8)
+    lengths[book["id"].to_numpy()] = book["length"].to_numpy()
+    return lengths
+
+
+def read_tokens(spark: SparkSession, path: str, lengths: np.ndarray | None = None, with_ids: bool = True) -> DataFrame:
+    """The documents of a file: doc_id, start, n_tokens, ids_crc32 and, if wanted, the ids (32-bit, little-endian).
+
+    The code book is read from the file unless it is at hand.
+    """
+    lengths = read_lengths(spark, path) if lengths is None else lengths
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     kinds = [pa.int64()] * 4 + [pa.binary()] * with_ids
 
@@ -232,4 +249,4 @@ def read_tokens(spark: SparkSession, path: str, lengths: np.ndarray, with_ids: b
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return spark.read.schema(BLOCK_SCHEMA).parquet(path).mapInArrow(run, schema)
+    return spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").mapInArrow(run, schema)

@@ -151,3 +151,13 @@ def test_token_file(spark, messy, empty, clashing, tmp_path):
     assert read_tokens(spark, path, lengths).count() == 0
     path, lengths = write_tokens(clashing, tokenizer, 0)
     assert read_tokens(spark, path, lengths, with_ids=False).count() == len(want)
+
+
+def test_token_file_is_read_by_its_path_alone(spark, messy, empty, tmp_path):
+    tokenizer = vocabulary(BYTE)
+    path, lengths = write_tokens(messy, tokenizer, 0, path=str(tmp_path / "tokens"))
+    want = sorted(map(tuple, read_tokens(spark, path, lengths).collect()), key=repr)
+    other = spark.newSession()
+    assert sorted(map(tuple, read_tokens(other, str(tmp_path / "tokens")).collect()), key=repr) == want
+    assert len(want) == messy.count()
+    assert read_tokens(other, write_tokens(empty, tokenizer, 0)[0]).count() == 0
