@@ -8,13 +8,16 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from . import twins
+from .collocations import collocations
 from .ctph import fingerprint_documents
+from .divergence import source_divergence
 from .huffman import read_tokens, write_tokens
 from .jaccard import similar_groups
 from .langid import held_out, identify
 from .linefreq import line_frequency
 from .mixing import plan, sized
 from .packing import pack
+from .pieces import decode, encode
 from .pulearn import classify
 from .pulearn import train as train_quality
 from .registry import query
@@ -35,6 +38,14 @@ def vocabulary(name: str) -> str:
     return Path(public_tokenizers.path(name)).read_text()
 
 
+@cache
+def piece_model(name: str) -> bytes:
+    """The model file of a public piece tokenizer; it travels with the job."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_bytes()
+
+
 @query("op1_packing")
 def op1(spark, d):
     return pack(table(spark, d, "documents"), vocabulary("word_bpe_49k.json"))
@@ -98,3 +109,22 @@ def op6(spark, d):
     docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels").select("doc_id", "quality")
     model = train_quality(docs, labels, ~held_out(4, 2))
     return classify(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
+@query("op11_source_divergence", sql=twins.OP11)
+def op11(spark, d):
+    return source_divergence(table(spark, d, "documents").select("text", "lang", "source"))
+
+
+@query("op12_pieces")
+def op12(spark, d):
+    model = piece_model("piece_bpe_32k.model")
+    encoded = encode(table(spark, d, "documents"), model)
+    return decode(encoded, model).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op13_collocations", sql=twins.OP13)
+def op13(spark, d):
+    return collocations(table(spark, d, "documents").select("text", "lang"))

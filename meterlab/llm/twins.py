@@ -98,3 +98,53 @@ ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT doc_id, doc_id AS other FROM docs UNION SELECT r.doc_id, b FROM reach r JOIN ends ON r.other = a)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(other) AS component_id
 FROM docs d JOIN reach r USING (doc_id) LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY 1, 2"""
+
+OP11 = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents),
+terms AS (SELECT row, lang, source, translate(unnest(found), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM docs),
+kept AS (SELECT lang, term FROM terms GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sized AS (SELECT g.lang, (SELECT count(*) FROM kept k WHERE k.lang = g.lang) AS v FROM (SELECT DISTINCT lang FROM docs) g),
+counted AS (SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT g.lang, g.source, v, coalesce(sum(n), 0) AS total FROM groups g JOIN sized USING (lang) LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+share AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (t.total + t.v)::HUGEINT AS p
+  FROM totals t JOIN kept k ON k.lang = t.lang LEFT JOIN counted c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+of_lang AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)::HUGEINT) // (SELECT sum(total) + any_value(v) FROM totals t WHERE t.lang = s.lang)::HUGEINT AS q
+  FROM share s GROUP BY lang, term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN share x ON x.lang = a.lang AND x.source = a.source LEFT JOIN share y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+found AS (
+  SELECT s.lang, s.source, s.term AS item, (p - q) * (p - q) // q AS value FROM share s JOIN of_lang o ON o.lang = s.lang AND o.term = s.term WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM pairs
+  UNION ALL
+  SELECT * FROM (SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM found) WHERE rank <= 200)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked"""
+
+OP13 = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+words AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+grams AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM words, range(1, 5) r(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+parts AS MATERIALIZED (
+  SELECT lang, phrase, k, a, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') AS head, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS tail
+  FROM grams, range(1, 4) c(j) WHERE j < k),
+cuts AS (
+  SELECT p.lang, p.phrase, p.k, p.a, j, l.a AS l, r.a AS r, CAST(2000000::HUGEINT * p.a // (l.a + r.a)::HUGEINT AS BIGINT) AS score
+  FROM parts p JOIN grams l ON l.lang = p.lang AND l.phrase = p.head JOIN grams r ON r.lang = p.lang AND r.phrase = p.tail),
+candidates AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[s:s + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM grams, range(2, 4) t(m), range(1, 4) u(s) WHERE m < k AND s + m - 1 <= k GROUP BY ALL),
+ranked AS (
+  SELECT c.lang, c.phrase, a, l, r, score, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, encode(c.phrase)) AS rank
+  FROM candidates c LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase WHERE NOT coalesce(100 * longer::HUGEINT >= 80 * a::HUGEINT, false))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
