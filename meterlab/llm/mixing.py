@@ -59,7 +59,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), epochs:
     order = [F.col("source").isNull(), F.col("source")]
     name = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
     lot = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint")
-    lots, _ = running(docs.select(*keys, "source", "size", lot.alias("lot")), [*order, F.col("lot"), *[F.col(k) for k in keys]], {"before": "size"})
+    lots, _ = running(docs.select(*keys, "source", "size", lot.alias("lot")), [*order, F.col("lot"), *[F.col(k) for k in keys], F.col("size")], {"before": "size"})
     sources, _ = keep(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
     ranked, _ = running(sources, order, {"source_before": "source_size"}, count="rank")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -85,18 +85,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), epochs: f
     The plan is made per distinct (doc_id, text, source) with the words of all its rows, and each of these rows
     gets an equal part of it, so equal rows can't be mistaken for one another.
     """
-    tagged = docs.withColumn("__t", F.xxhash64("text", "source"))
-    sizes = tagged.groupBy("doc_id", "__t", "source").agg(
+    tagged = docs.withColumn("__mix_t", F.xxhash64("text", "source"))
+    sizes = tagged.groupBy("doc_id", F.col("__mix_t").alias("__t"), "source").agg(
         F.sum(F.coalesce(count_words(F.col("text")), F.lit(0))).alias("size"), F.count(F.lit(1)).alias("__n"))
     sizes, _ = keep(sizes)
     made = plan(sizes, weights, epochs, seed, ("doc_id", "__t", "__n")).select(
-        F.col("doc_id").alias("__id"), F.col("__t").alias("__u"), "whole", F.ceil(F.col("rest") / F.col("__n")).alias("rest"))
-    joined = tagged.join(made, tagged["doc_id"].eqNullSafe(made["__id"]) & (tagged["__t"] == made["__u"]))
+        F.col("doc_id").alias("__mix_id"), F.col("__t").alias("__mix_tag"), F.col("whole").alias("__mix_whole"),
+        F.ceil(F.col("rest") / F.col("__n")).alias("__mix_rest"))
+    joined = tagged.join(made, tagged["doc_id"].eqNullSafe(made["__mix_id"]) & (tagged["__mix_t"] == made["__mix_tag"]))
     size = F.coalesce(count_words(F.col("text")), F.lit(0))
-    rests = F.when((F.col("rest") > 0) & (size > 0), F.least(F.col("rest"), size)).otherwise(0)
-    copies = F.concat(F.array_repeat(size, F.col("whole").cast("int")), F.when(rests > 0, F.array(rests)).otherwise(F.array().cast("array<bigint>")))
-    out = joined.withColumn("__take", F.explode(copies))
+    rests = F.when((F.col("__mix_rest") > 0) & (size > 0), F.least(F.col("__mix_rest"), size)).otherwise(0)
+    copies = F.concat(F.array_repeat(size, F.col("__mix_whole").cast("int")), F.when(rests > 0, F.array(rests)).otherwise(F.array().cast("array<bigint>")))
+    out = joined.withColumn("__mix_take", F.explode(copies))
     words = F.filter(F.split("text", GAPS), lambda w: w != "")
-    cut = F.array_join(F.slice(words, 1, F.col("__take").cast("int")), " ")
-    text = F.when(F.col("__take") < size, cut).otherwise(F.col("text"))
+    cut = F.array_join(F.slice(words, 1, F.col("__mix_take").cast("int")), " ")
+    text = F.when(F.col("__mix_take") < size, cut).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
