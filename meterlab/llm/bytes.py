@@ -12,11 +12,10 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Odd multiplier of the polynomial hashes, and its inverse modulo 2**64.
+#: Odd multiplier of the hashes of a few items.
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once; working arrays take about ten times as much.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 GAP = np.zeros(256, bool)
 GAP[[9, 10, 11, 12, 13, 32]] = True
@@ -87,16 +86,35 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-BYTE_VALUE = mix((np.arange(256, dtype=U64) + U64(1)) * U64(0xD6E8FEB86659FD93))
+#: A value for each byte at each place of a run's first ``NEAR`` ones; later places mix theirs from these.
+NEAR = 64
+PLACE_VALUE = mix((np.arange(256 * NEAR, dtype=U64) + U64(1)) * U64(0xD6E8FEB86659FD93))
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte runs: differences of one prefix sum, shifted back to position 0."""
-    n = len(buf)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(BYTE_VALUE[buf] * powers(BASE, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(INVERSE, n + 1)[starts]
-    return mix(h ^ ((ends - starts).astype(U64) * U64(0xA0761D6478BD642F)))
+    """64-bit hashes of byte runs: sums of values drawn for each byte and its place in the run.
+
+    Values of different places have nothing in common, unlike the powers of one base, whose sums modulo 2**64
+    agree for whole families of texts.
+    """
+    size = ends - starts
+    stop = np.cumsum(size)
+    begin = stop - size
+    total = int(stop[-1]) if len(stop) else 0
+    place = np.arange(total, dtype=np.int32)
+    data = buf if total == len(buf) else buf[place + np.repeat((starts - begin).astype(np.int32), size)]
+    place -= np.repeat(begin.astype(np.int32), size)
+    value = PLACE_VALUE[((place & (NEAR - 1)) << 8) | data]
+    if len(size) and int(size.max()) > NEAR:
+        far = np.flatnonzero(place >= NEAR)
+        value[far] = mix(value[far] + (place[far] >> 6).astype(U64) * U64(BASE))
+    if len(size) and int(size.min()) > 0:
+        sums = np.add.reduceat(value, begin)
+    else:
+        before = np.zeros(total + 1, U64)
+        np.cumsum(value, out=before[1:])
+        sums = before[stop] - before[begin]
+    return mix(sums ^ (size.astype(U64) * U64(0xA0761D6478BD642F)))
 
 
 def join_hashes(h: np.ndarray, k: int) -> np.ndarray:

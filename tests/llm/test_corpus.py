@@ -350,7 +350,8 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "substring_dedup", "mixing", "packing"]
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES[:2]:
-        docs = stage(spark, docs, str(tmp_path))
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
         assert docs.columns == [x.split()[0] for x in SCHEMA.split(", ")], name
     assert not {r.doc_id for r in docs.collect()} & set(range(500, 510))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()

@@ -217,3 +217,55 @@ def test_collocations_of_odd_tables(spark, empty):
     assert rows_of(collocations(own, 6, 50)) == brute_collocations(rows, 6, 50)
     assert collocations(empty).count() == 0
     assert collocations(own.limit(5), 1000).count() == 0
+
+
+def mirrored(n):
+    """A text of a Thue-Morse sequence and its twin, on which sums of powers agree for any base."""
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_mirrored_texts_are_told_apart(spark, n):
+    from tokenizers import Tokenizer
+
+    from meterlab.llm.jaccard import similar_groups
+    from meterlab.llm.queries import vocabulary
+    from meterlab.llm.substrings import remove_repeats
+    from meterlab.llm.tokens import Encoder
+
+    a, b = mirrored(n)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        raw, model = (a + b).encode(), Tokenizer.from_str(vocabulary(name))
+        ids, size = Encoder(vocabulary(name))(np.frombuffer(raw, np.uint8), np.array([0, n, 2 * n]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [model.encode(x, add_special_tokens=False).ids for x in (a, b)]
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id bigint, text string")
+    assert [r.component_id for r in similar_groups(docs).orderBy("doc_id").collect()] == [1, 2]
+    words = [f"w{i}" for i in range(33)]
+    docs = spark.createDataFrame([(i, " ".join([*words[:30], x, *words[30:]])) for i, x in ((1, a), (2, b))], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_removed for r in remove_repeats(docs).collect()} == {1: 0, 2: 30}
+
+
+def test_mix_reruns_agree_on_rows_of_one_id(spark):
+    from meterlab.llm.mixing import mix, plan, sized
+
+    rows = [(1, "w " * n, "en", s, 1) for n in (3, 9, 4, 7, 2) for s in ("a", "b", "c")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = [rows_of(plan(sized(docs.repartition(n))).select("doc_id", "size", "source", "taken")) for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2]
+    own = docs.withColumns({n: F.lit("own") for n in ("whole", "rest", "taken", "__id", "__take")})
+    assert rows_of(mix(own).select(*docs.columns)) == rows_of(mix(docs)) and mix(own).where("whole <> 'own'").isEmpty()
+
+
+def test_pipeline_keeps_own_columns(messy):
+    import corpus_pipeline
+
+    names = ("score", "rejected", "lang_pred", "n_words", "n_removed", "kept_sha256", "whole", "rest", "__id", "__n", "component_id")
+    own = messy.where("doc_id is not null").withColumns({n: F.lit("own") for n in names})
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(messy.sparkSession, own, "")
+        assert out.columns == own.columns
+        rows = out.collect()
+        assert rows and all(r[n] == "own" for r in rows for n in names), name
