@@ -36,7 +36,7 @@ from .tallies import PACKED, merged, n_buckets, pack, strings, whole
 TERM = np.zeros(256, bool)
 TERM[65:91] = TERM[97:123] = TERM[128:] = True
 #: Bytes of text in which chunks are counted at once.
-SLICE = 8 << 20
+SLICE = 3 << 20
 #: Terms times sources compared in one group of the comparison.
 CELLS = 1 << 20
 COUNTS = ["n", "docs", "first", "last"]
@@ -107,8 +107,11 @@ def _keep_terms(min_docs: int):
         sure = np.zeros(len(terms.dictionary) * len(names), bool)
         sure[word[docs >= min_docs]] = True
         few = np.flatnonzero(~sure[word])
-        named = np.unique(np.concatenate([np.stack([word[few], x[few]]) for x in (first, last)], axis=1), axis=1)
-        sure |= np.bincount(named[0], minlength=len(sure)) >= min_docs
+        owner, name = np.concatenate([word[few], word[few]]), np.concatenate([first[few], last[few]])
+        order = np.lexsort((name, owner))
+        owner, name = owner[order], name[order]
+        new = np.append(True, (owner[1:] != owner[:-1]) | (name[1:] != name[:-1]))[:len(owner)]
+        sure |= np.bincount(owner[new], minlength=len(sure)) >= min_docs
         kept = np.flatnonzero(sure[word])
         groups_of, back = np.unique(code[kept] * len(groups) + label[kept], return_inverse=True)
         total = np.zeros(len(groups_of), np.int64)

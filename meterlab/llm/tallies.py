@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from .bytes import span_hashes, utf8
 
 #: Bytes of text per bucket, and the least number of buckets, for small tables to use all cores.
-BUCKET_BYTES, LEAST_BUCKETS = 24 << 20, 24
+BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 12
 #: New entries a bucket collects before it merges them.
-PENDING = 1 << 20
+PENDING = 1 << 19
 PACKED = "bucket int, packed binary"
 
 
