@@ -27,8 +27,8 @@ from .tallies import strings
 SPACE = "▁"
 #: Rank of a pair that is no piece.
 NONE = np.iinfo(np.int32).max
-#: Bytes of text encoded at once.
-SLICE = 4 << 20
+#: Bytes of text encoded and ids decoded at once.
+SLICE = 2 << 20
 
 
 class Pieces:
@@ -302,12 +302,15 @@ def decode(encoded: DataFrame, model: bytes, keys: tuple[str, ...] = ("doc_id",)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.shared(model)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column("ids")
-            n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            text = pieces.decode(lists.flatten().to_numpy(), n)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in (*keys, "ids")], pc.cast(text, pa.string())], names=[*keys, "ids", "text"])
+            ends = np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64))
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE // 4, "right")))
+                part = batch.slice(i, j - i)
+                lists = part.column("ids")
+                text = pieces.decode(lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in (*keys, "ids")], pc.cast(text, pa.string())], names=[*keys, "ids", "text"])
+                i = j
 
     rows = encoded.select(*keys, "ids")
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))
