@@ -41,7 +41,7 @@ PART_BYTES, GROUP, BANDS = 16 << 20, 512, 4
 #: Sets in the groups of one task call, about.
 BUCKET = 2048
 #: Sets a task remembers having sent.
-RECENT = 1 << 20
+RECENT = 1 << 18
 #: Tokens compared at once on the way down a trie.
 STRETCH = 64
 

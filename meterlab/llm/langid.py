@@ -35,7 +35,7 @@ SYMBOLS = 1 << BITS
 #: Least share of an order's counts that keeps a gram in the finished model.
 RARE = 2.0 ** -20
 #: Grams a task holds before it passes them on.
-HELD = 4 << 20
+HELD = 2 << 20
 #: Words whose scores a task remembers, times the number of languages.
 PLACES = 1 << 21
 #: Cells of a nat in which entropies are counted; the quantile that tells their spread, and its place in a normal distribution.

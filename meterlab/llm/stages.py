@@ -18,9 +18,19 @@ def stage_path(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/llm/{uuid.uuid4().hex}"
 
 
+#: Stage tables of this session that nobody has dropped.
+_made: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all stage tables made so far, once the results that read them are written elsewhere."""
+    drop(spark, *_made)
+
+
 def keep(df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Write ``df`` as a stage table; returns the table as read back, and its path."""
     path = stage_path(df.sparkSession)
+    _made.append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -28,6 +38,8 @@ def keep(df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete stage tables nothing reads any more, to free the shared folder."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
+    for path in list(paths):
+        if path in _made:
+            _made.remove(path)
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)

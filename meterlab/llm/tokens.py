@@ -12,7 +12,7 @@ import numpy as np
 from .bytes import LOWER, mix, ranges, span_hashes
 
 #: Places in the table of known pieces (a power of two), and ids kept before it starts anew.
-PLACES, KEPT_IDS = 1 << 21, 8 << 20
+PLACES, KEPT_IDS = 1 << 21, 4 << 20
 #: First bytes of the characters among which Unicode has white space outside ASCII: no cuts next to these.
 WIDE_GAPS = (0xC2, 0xE1, 0xE2, 0xE3)
 
