@@ -117,18 +117,50 @@ def removed_outlier_heavy(spark, d):
     return prep.drop_outlier_heavy(t.user_hourly(spark, d), "meter", "energy")
 
 
-CLEAN = DAY_FILLED + """,
+CHAIN = """,
 na AS (
   SELECT meter FROM filled GROUP BY meter HAVING avg(CASE WHEN energy IS NULL THEN 1.0 ELSE 0.0 END) > 0.1),
 """ + IMPUTE + """,
 averaged AS (
-  SELECT meter, ts, avg(energy) AS energy FROM imputed WHERE meter NOT IN (SELECT meter FROM na) GROUP BY meter, ts),
-""" + OUTLIERS.format(src="averaged") + """,
+  SELECT meter, {unit} AS ts, avg(energy) AS energy FROM imputed WHERE meter NOT IN (SELECT meter FROM na) GROUP BY ALL),
+""" + OUTLIERS.replace("{src}", "averaged") + """,
 noisy AS (SELECT meter FROM rates WHERE pct_outliers > 0.1),
 removed AS (
-  SELECT meter AS id_removed, 'block_' || (meter % 10) AS block, 'NA excess' AS motive FROM na
-  UNION ALL SELECT meter, 'block_' || (meter % 10), 'Outlier Excess' FROM noisy),
+  SELECT meter AS id_removed, {block} AS block, 'NA excess' AS motive FROM na
+  UNION ALL SELECT meter, {block}, 'Outlier Excess' FROM noisy),
 clean AS (SELECT * FROM averaged WHERE meter NOT IN (SELECT meter FROM noisy))"""
+CLEAN = DAY_FILLED + CHAIN.format(unit="ts", block="'block_' || (meter % 10)")
+HALF_FILLED = t.HALF_HOURS + """,
+rows_ AS (SELECT DISTINCT meter, ts, energy FROM half_hours),
+""" + CALENDAR.format(step="HOUR", src="rows_").replace("INTERVAL 1 HOUR", "INTERVAL 30 MINUTE") + """,
+filled AS (SELECT meter, ts, energy FROM rows_ UNION ALL SELECT meter, ts, NULL FROM gaps)"""
+CLEAN_HALF = HALF_FILLED + CHAIN.format(unit="CAST(date_trunc('hour', ts) AS TIMESTAMP)", block="'block_' || (meter % 2)")
+
+
+def _cleaned_half(spark, d):
+    rows = t.half_hours(spark, d).withColumn("file", F.concat(F.lit("block_"), F.col("meter") % 2))
+    return clean_readings(rows, "meter", "ts", "energy", block="file")
+
+
+@query("clean_half_hourly", "meter ts", "energy", sql=f"WITH {CLEAN_HALF} SELECT * FROM clean")
+def clean_half_hourly(spark, d):
+    return _cleaned_half(spark, d).hourly
+
+
+@query("removed_ids_half_hourly", "id_removed block motive", sql=f"WITH {CLEAN_HALF} SELECT * FROM removed")
+def removed_ids_half_hourly(spark, d):
+    return _cleaned_half(spark, d).removed
+
+
+@query("gap_lengths_half_hourly", "meter n_missing longest n_gaps", sql=f"""
+WITH {HALF_FILLED},
+numbered AS (SELECT meter, ts, row_number() OVER (PARTITION BY meter ORDER BY ts) AS i FROM gaps),
+islands AS (SELECT meter, ts - to_minutes(CAST(30 * i AS INTEGER)) AS island, count(*) AS n FROM numbered GROUP BY ALL)
+SELECT meter, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_missing, coalesce(max(n), 0) AS longest, count(n) AS n_gaps
+FROM (SELECT DISTINCT meter FROM rows_) LEFT JOIN islands USING (meter) GROUP BY meter""")
+def gap_lengths_half_hourly(spark, d):
+    marked = prep.mark_gaps(prep.distinct_complete(t.half_hours(spark, d)), "meter", "ts", "30 minutes")
+    return marked.groupBy("meter").agg(F.sum("__gap").alias("n_missing"), F.max("__gap").alias("longest"), F.count_if(F.col("__gap") > 0).alias("n_gaps"))
 
 
 def _cleaned(spark, d):

@@ -48,6 +48,20 @@ HOUR_SLOTS = """hour_slots AS (
   SELECT event_type AS meter, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, value AS energy FROM events)"""
 
 
+def half_hours(spark, d):
+    """Five meters of very different density (45, 30, 15, 7 and 3 % of the users) on half-hour slots."""
+    u, at = F.pmod("user_id", F.lit(100)), F.col("ts")
+    meter = F.when(u < 45, 1).when(u < 75, 2).when(u < 90, 3).when(u < 97, 4).otherwise(5).cast("bigint")
+    half = F.timestamp_add("MINUTE", F.floor(F.minute(at) / 30).cast("int") * 30, F.date_trunc("hour", at).cast("timestamp_ntz"))
+    return table(spark, d, "events").select(meter.alias("meter"), half.cast("timestamp_ntz").alias("ts"), F.col("value").alias("energy"))
+
+
+HALF_HOURS = """half_hours AS (
+  SELECT CAST(CASE WHEN user_id % 100 < 45 THEN 1 WHEN user_id % 100 < 75 THEN 2 WHEN user_id % 100 < 90 THEN 3
+                   WHEN user_id % 100 < 97 THEN 4 ELSE 5 END AS BIGINT) AS meter,
+         CAST(time_bucket(INTERVAL 30 MINUTE, ts) AS TIMESTAMP) AS ts, value AS energy FROM events)"""
+
+
 def user_hourly(spark, d):
     return downsample(readings(spark, d), "meter", "ts", "energy")
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlab.functions.calendar import trunc_to
+from meterlab.functions.calendar import is_ntz, trunc_to
 from meterlab.functions.moments import percentile
 from meterlab.operators.order_stats import exact_quantiles, null_safe_join, with_stats
 
@@ -84,6 +84,78 @@ def gap_fill(df: DataFrame, key: str, ts: str, step: str, exempt: DataFrame | No
     return df.unionByName(missing_slots(df, key, ts, step, exempt), allowMissingColumns=True)
 
 
+def _length(step: str) -> Column:
+    return F.expr(f"CAST(INTERVAL {step} AS INTERVAL DAY TO SECOND)")
+
+
+def _micros(span: Column) -> Column:
+    part = lambda unit: F.extract(F.lit(unit), span)
+    minutes = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return minutes * 60000000 + (part("SECOND") * 1000000).cast("bigint")
+
+
+def _elapsed(df: DataFrame, ts: str, start: Column, end: Column) -> Column:
+    """Elapsed microseconds; a difference of zoned timestamps would follow the clock instead."""
+    return _micros(end - start) if is_ntz(df, ts) else F.unix_micros(end) - F.unix_micros(start)
+
+
+def mark_gaps(df: DataFrame, key: str, ts: str, step: str) -> DataFrame:
+    """Add ``__gap`` and ``__upto``: how many expected slots without a reading follow a row, and no later than when.
+
+    Slots go from a key's first timestamp to its last in steps of a fixed length (days and less).  The rows of a key
+    are sorted once and each looks at the next row that stands on a slot; no calendar is built and nothing is joined.
+    Of rows that share a slot one is followed by its gap, rows between slots by none.
+    """
+    every = Window.partitionBy(key)
+    later = every.orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, -1)
+    width = _micros(_length(step))
+    elapsed = lambda a, b: _elapsed(df, ts, a, b)
+    rows = df.withColumn("__low", F.min(ts).over(every)).withColumn("__high", F.max(ts).over(every))
+    rows = rows.withColumn("__on", elapsed(F.col("__low"), F.col(ts)) % width == 0)
+    rows = rows.withColumn("__next", F.last(F.when(F.col("__on"), F.col(ts)), True).over(later))
+    between = F.floor(elapsed(F.col(ts), F.col("__next")) / width) - 1
+    after = F.floor(elapsed(F.col(ts), F.col("__high")) / width)
+    gap = F.when(F.col("__on"), F.when(F.col("__next").isNull(), after).otherwise(F.greatest(between, F.lit(0)))).otherwise(0)
+    upto = F.coalesce(F.col("__next") - _length(step), F.col("__high"))  # a short step back: whole days would follow the clock
+    return rows.withColumn("__gap", gap.cast("bigint")).withColumn("__upto", upto).drop("__low", "__high", "__on", "__next")
+
+
+def collapse_slots(marked: DataFrame, key: str, ts: str, value: str, unit: str) -> DataFrame:
+    """Rows with their gaps as one row per key, calendar unit and hour of day: sum, count and the gaps that begin there."""
+    hour = F.hour(ts).alias("__hour")
+    at = trunc_to(marked, ts, unit)
+    gap = F.when(F.col("__gap") > 0, F.struct(F.col(ts).alias("after"), F.col("__upto").alias("upto"), F.col("__gap").alias("n")))
+    return marked.groupBy(key, at.alias(ts), hour).agg(
+        F.sum(value).alias("__sum"), F.count(F.lit(1)).alias("__rows"), F.collect_list(gap).alias("__gaps"))
+
+
+def gap_slots(collapsed: DataFrame, key: str, ts: str, step: str, exempt: DataFrame | None = None) -> DataFrame:
+    """(key, ts) of the missing slots of collapsed rows, one row each."""
+    width = _length(step)
+    begin = collapsed.select(key, F.explode("__gaps").alias("g"))
+    slots = begin.select(key, F.explode(F.sequence(F.col("g.after") + width, F.col("g.upto"), width)).alias(ts))
+    if exempt is not None:
+        name = exempt.columns[0]
+        slots = slots.join(exempt.select(F.col(name).alias(ts)).distinct(), ts, "left_anti")
+    return slots.select(key, ts)
+
+
+def fill_collapsed(collapsed: DataFrame, missing: DataFrame, key: str, ts: str, value: str, unit: str) -> DataFrame:
+    """Mean per key and unit once the missing slots have got the mean of their hour of day, else the key's."""
+    gaps = missing.groupBy(key, trunc_to(missing, ts, unit).alias(ts), F.hour(ts).alias("__hour")).agg(F.count(F.lit(1)).alias("__missing"))
+    zero = {"__sum": F.lit(None).cast("double"), "__rows": F.lit(0).cast("bigint")}
+    cells = collapsed.select(key, ts, "__hour", "__sum", "__rows", F.lit(0).cast("bigint").alias("__missing")).unionByName(gaps.withColumns(zero))
+    of_hour = cells.groupBy(key, "__hour").agg(F.sum("__sum").alias("s"), F.sum("__rows").alias("n"), F.sum("__missing").alias("m"))
+    day = Window.partitionBy(key)
+    mean = F.try_divide("s", "n")
+    weight = F.when(F.col("n") > 0, F.col("n") + F.col("m"))
+    overall = F.try_divide(F.sum(mean * weight).over(day), F.sum(weight).over(day))
+    fills = of_hour.withColumn("__fill", F.coalesce(mean, overall)).select(key, "__hour", "__fill")  # 24 rows a key
+    filled = null_safe_join(cells, fills, [key, "__hour"], "left")
+    total = F.coalesce("__sum", F.lit(0.0)) + F.when(F.col("__missing") > 0, F.col("__missing") * F.col("__fill")).otherwise(0.0)
+    return filled.groupBy(key, ts).agg((F.sum(total) / F.sum(F.col("__rows") + F.col("__missing"))).alias(value))
+
+
 # --- removal rules --------------------------------------------------------------
 
 def null_rate(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -122,3 +122,48 @@ def test_minmax_and_constant(spark):
     df = spark.createDataFrame([(1.0, 4.0), (3.0, 4.0), (2.0, 4.0)], "a double, b double")
     assert sorted(r[0] for r in prep.minmax(df, "a").select("a").collect()) == [0.0, 0.5, 1.0]
     assert {r[0] for r in prep.minmax(df, "b").select("b").collect()} == {None}
+
+
+def test_gaps_between_neighbours(spark):
+    """Rows on and between slots, shared slots and clock changes give the slots a calendar would."""
+    import random
+
+    from meterlab.operators.preparation import collapse_slots, gap_slots, mark_gaps, missing_slots
+
+    rng = random.Random(2)
+    spark.conf.set("spark.sql.session.timeZone", "Europe/London")
+    try:
+        rows = []
+        for k in range(8):
+            start = 1332547200 + 1800 * rng.randint(0, 9)  # around 25 March 2012
+            for i in sorted(rng.sample(range(200), 60)):
+                for _ in range(1 + (rng.random() < 0.1)):
+                    rows.append((f"h{k}", start + 1800 * i + (7 if rng.random() < 0.1 else 0), rng.random()))
+        rows.append(("single", 1332547200, 1.0))
+        df = spark.createDataFrame(rows, "id string, at bigint, x double").selectExpr("id", "timestamp_seconds(at) AS ts", "x")
+        for table, step in ((df, "30 minutes"), (df.selectExpr("id", "cast(ts as timestamp_ntz) AS ts", "x"), "30 minutes"), (df, "1 hour")):
+            cells = collapse_slots(mark_gaps(table, "id", "ts", step), "id", "ts", "x", "hour")
+            got = gap_slots(cells, "id", "ts", step)
+            want = missing_slots(table, "id", "ts", step)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+            exempt = want.select("ts").distinct().limit(20)
+            assert gap_slots(cells, "id", "ts", step, exempt).exceptAll(missing_slots(table, "id", "ts", step, exempt)).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_cleaning_equals_the_slot_by_slot_chain(spark):
+    import random
+
+    from meterlab.operators import preparation as prep
+    from meterlab.plans.cleaning import clean_readings
+
+    rng = random.Random(6)
+    rows = [(f"h{k}", 1700000000 // 1800 * 1800 + 1800 * i, round(rng.random(), 3), f"b{k % 2}") for k in range(6) for i in range(500) if rng.random() > 0.03 * k]
+    df = spark.createDataFrame(rows, "id string, at bigint, x double, file string").selectExpr("id", "cast(timestamp_seconds(at) as timestamp_ntz) AS ts", "x", "file")
+    got = clean_readings(df, "id", "ts", "x", block="file")
+    filled = prep.gap_fill(prep.distinct_complete(df.select("id", "ts", "x")), "id", "ts", "30 minutes")
+    want = prep.downsample(prep.impute_hour_mean(prep.drop_sparse(filled, "id", "x"), "id", "ts", "x"), "id", "ts", "x")
+    a, b = (sorted((r.id, r.ts, round(r.x, 9)) for r in t.collect()) for t in (got.hourly, want))
+    assert a == b and len({r[0] for r in a}) == 4
+    assert sorted(map(tuple, got.removed.collect())) == [("h4", "b0", "NA excess"), ("h5", "b1", "NA excess")]
