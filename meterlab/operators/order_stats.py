@@ -2,21 +2,24 @@
 
 ``percentile`` and ordered windows bring a whole group into one task.  That is
 fine for one household's hourly series (the calendar bounds it) but not for
-"all rows of a season".  The operators here cut the value axis into cells:
-
-1.  One mergeable quantile sketch over the whole column gives 255 cell edges, a
-    single row used as a scalar subquery.  Whatever the sizes of the groups, a
-    cell of any group holds about 1/256 of the rows, or copies of one value.
-2.  Cell totals per group are counted map-side and prefix-summed: at most 256
-    rows per group.
-3.  :func:`exact_quantiles` then reads only the cells that hold a requested
-    order statistic; all other rows are filtered out before any shuffle.
-    :func:`value_positions` (ranks) needs every distinct value and sorts cell by
-    cell.
-
-The sketch decides balance only; the counts make the result exact.  A table is
-scanned up to three times, but rows are not shuffled to get there; if the
-input ends in a shuffle, its files are reused.
+"all rows of a season".
+
+:func:`exact_quantiles` narrows brackets around the wanted places, per group:
+
+1.  A mergeable sketch per group gives two values on either side of each place;
+    groups of a few thousand rows take their minimum and maximum.
+2.  One pass counts the rows below each bracket and the copies of the values in
+    it; everything else collapses map-side into one row per group.  The counts
+    prove the brackets right; if one isn't, all are widened.
+3.  Brackets that still hold many distinct values are cut at the quantiles of
+    these and the part with the place is kept, until few are left, which are
+    read as one bounded array per place.
+
+Groups may be of any size and lie anywhere on the value axis; the sketch only
+decides how much is left to count.  No window orders values.
+
+:func:`value_positions` (ranks) needs every distinct value and sorts cell by
+cell of the value axis.
 """
 
 from __future__ import annotations
@@ -31,6 +34,9 @@ from meterlab.sources.stages import materialise
 CELLS = 256
 STRIDE = 16
 SKETCH_ACCURACY = 2000
+#: Of the brackets: the sketch's accuracy, rows up to which a group is its own bracket, cuts of a bracket, and distinct
+#: values at the end of narrowing.
+ACCURACY, SMALL, STRIDES, FEW = 1000, 4000, 64, 20000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -114,23 +120,6 @@ def _cell_sums(celled: DataFrame, by: Sequence[str], copies: Column) -> DataFram
     })
 
 
-def _values_in(celled: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Distinct values with counts of the chosen (by, __cell), with the columns of ``cells``.
-
-    Rows of cells whose number is not wanted by any group (a set of at most
-    CELLS integers) fall into one NULL group per ``by``, which collapses before
-    the shuffle and finds no partner in the join.  A filter would do the same
-    but gets pushed below the cell number and evaluates it twice.
-    """
-    numbers = cells.agg(F.collect_set("__cell").alias("c")).scalar()
-    marked = celled.withColumn("__keep", F.array_contains(numbers, F.col("__cell")))
-    counts = marked.select(
-        *by, F.when(F.col("__keep"), F.col("__cell")).alias("__cell"),
-        F.when(F.col("__keep"), F.col("value")).alias("value"),
-    ).groupBy(*by, "__cell", "value").agg(F.count(F.lit(1)).alias("copies"))
-    return null_safe_join(counts, cells, [*by, "__cell"])
-
-
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Distinct non-NULL values per group with their number of copies."""
     return _present(df, value, by).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("copies"))
@@ -152,75 +141,119 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), cells: in
         *by, "value", "copies", "below", "total")
 
 
-def _quantiles(celled: DataFrame, sums: DataFrame, probs: Mapping[str, float], by: list[str]) -> DataFrame:
-    def place(p: float) -> Column:
-        return F.lit(float(p)) * (F.col("total") - 1)
-
-    wanted = None
-    for p in probs.values():
-        for k in (F.floor(place(p)), F.ceil(place(p))):
-            hit = (F.col("__before") <= k) & (k < F.col("__before") + F.col("__here"))
-            wanted = hit if wanted is None else wanted | hit
-    kept = _values_in(celled, sums.where(wanted).select(*by, "__cell", "__before", "total"), by)
-    inside = Window.partitionBy(*by, "__cell").orderBy("value")
-    ranked = kept.withColumn(
-        "__upto", F.col("__before") + F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    picks = [F.max("total").alias("total")]
-    for name, p in probs.items():
-        picks.append(F.min(F.when(F.col("__upto") > F.floor(place(p)), F.col("value"))).alias(f"__lo_{name}"))
-        picks.append(F.min(F.when(F.col("__upto") > F.ceil(place(p)), F.col("value"))).alias(f"__hi_{name}"))
-    found = ranked.groupBy(*by).agg(*picks) if by else ranked.agg(*picks)
-    out = [F.col(c) for c in by]
-    for name, p in probs.items():
-        frac = place(p) - F.floor(place(p))
-        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        out.append((lo + frac * (hi - lo)).alias(name))
-    return found.select(*out)
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
-                    by: Sequence[str] = (), cells: int = CELLS) -> DataFrame:
+def _around(rows: DataFrame, by: list[str], probs: Sequence[float], margin: float) -> DataFrame:
+    """One row per group: n and, for each place, a bracket [__lo<j>, __hi<j>] that holds it as far as a sketch can tell."""
+    ends = [(p - margin, p + margin) for p in probs]
+    sides = [min(max(x, 0.0), 1.0) for pair in ends for x in pair]
+    aggs = [F.count(F.lit(1)).alias("n"), F.min("value").alias("__min"), F.max("value").alias("__max"),
+            F.percentile_approx("value", sides, ACCURACY).alias("__at")]
+    found = rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+    small = F.col("n") <= SMALL
+    cols = []
+    for j, (low, high) in enumerate(ends):
+        cols.append(F.when(small | F.lit(low <= 0), F.col("__min")).otherwise(F.get("__at", F.lit(2 * j))).alias(f"__lo{j}"))
+        cols.append(F.when(small | F.lit(high >= 1), F.col("__max")).otherwise(F.get("__at", F.lit(2 * j + 1))).alias(f"__hi{j}"))
+    return found.select(*by, "n", *cols)
+
+
+def _narrowed(inside: DataFrame, places: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Cut the values of each bracket at their quantiles and keep the part that holds its places."""
+    edges = inside.groupBy(*keys).agg(F.percentile_approx("value", [i / STRIDES for i in range(1, STRIDES)], ACCURACY).alias("__e"))
+    celled = null_safe_join(inside, edges, keys).withColumn("__cell", F.size(F.filter("__e", lambda e: e <= F.col("value")))).drop("__e")
+    sums = celled.groupBy(*keys, "__cell").agg(F.sum("copies").alias("h")).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("__cell").alias("c"), "h"))).alias("__s"))  # at most STRIDES entries
+    placed = null_safe_join(places, sums, keys)
+    zero = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0).cast("bigint").alias("before"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+
+    def step(acc, x):
+        upto = acc["seen"] + x["h"]
+        holds = lambda k: (acc["seen"] <= k) & (k < upto)
+        starts = holds(F.col("__low") - F.col("__below"))
+        return F.struct(upto.alias("seen"), F.when(starts, acc["seen"]).otherwise(acc["before"]).alias("before"),
+                        F.when(starts, x["c"]).otherwise(acc["first"]).alias("first"),
+                        F.when(holds(F.col("__high") - F.col("__below")), x["c"]).otherwise(acc["last"]).alias("last"))
+
+    cut = placed.withColumn("__f", F.aggregate("__s", zero, step))
+    places = cut.select(*keys, "n", "__low", "__high", (F.col("__below") + F.col("__f.before")).alias("__below"))
+    kept = null_safe_join(celled, cut.select(*keys, F.col("__f.first").alias("__a"), F.col("__f.last").alias("__z")), keys)
+    return materialise(kept.where(F.col("__cell").between(F.col("__a"), F.col("__z"))).select(*keys, "value", "copies")), materialise(places)
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (),
+                    few: int = FEW) -> DataFrame:
     """Exact interpolated quantiles (the usual (n-1)p rule), one row per group.
 
-    ``probs`` maps output column names to probabilities.
+    ``probs`` maps output column names to probabilities; ``few`` is how many
+    distinct values may be left around a place.
     """
-    by = list(by)
-    celled = _celled(_present(df, value, by), cells)
-    return _quantiles(celled, _cell_sums(celled, by, F.lit(1)), probs, by)
-
-
-def exact_fences(df: DataFrame, value: str, by: Sequence[str] = (), k: float = 1.5,
-                 cells: int = CELLS) -> DataFrame:
+    by, names = list(by), list(probs)
+    rows, margin, last = _present(df, value, by), 2.5 / ACCURACY, len(names)
+    keys = [*by, "__j"]
+    while True:
+        around = materialise(_around(rows, by, list(probs.values()), margin))
+        ends = [f"__{side}{j}" for j in range(last) for side in ("lo", "hi")]
+        near = with_stats(rows, around, by, ends)
+        within = [F.col("value").between(F.col(f"__lo{j}"), F.col(f"__hi{j}")) for j in range(last)]
+        any_of = within[0]
+        for w in within[1:]:
+            any_of = any_of | w
+        seen = materialise(near.withColumn("__v", F.when(any_of, F.col("value"))).groupBy(*by, "__v").agg(
+            F.count(F.lit(1)).alias("copies"), *[F.count_if(F.col("value") < F.col(f"__lo{j}")).alias(f"__b{j}") for j in range(last)]))
+        sums = [F.sum(f"__b{j}").alias(f"__b{j}") for j in range(last)]
+        below = seen.groupBy(*by).agg(*sums) if by else seen.agg(*sums)
+        facts = with_stats(around, below, by, [f"__b{j}" for j in range(last)])
+        place = lambda p: F.lit(float(p)) * (F.col("n") - 1)
+        listed = F.array(*[F.struct(F.lit(j).alias("__j"), F.floor(place(p)).alias("__low"), F.ceil(place(p)).alias("__high"),
+                                    F.col(f"__b{j}").alias("__below")) for j, p in enumerate(probs.values())])
+        places = facts.where("n > 0").select(*by, "n", F.explode(listed).alias("p")).select(*by, "n", "p.*")
+        values = with_stats(seen.where(F.col("__v").isNotNull()), around, by, ends).withColumnRenamed("__v", "value")
+        inside = values.select(*by, "value", "copies", F.explode(F.array(*[F.when(w, F.lit(j)) for j, w in enumerate(within)])).alias("__j")).where(
+            F.col("__j").isNotNull())
+        held = inside.groupBy(*keys).agg(F.sum("copies").alias("__in"), F.count(F.lit(1)).alias("__distinct"))
+        checked = null_safe_join(places, held, keys, "left")
+        proof = checked.agg(F.max(F.when((F.col("__below") <= F.col("__low")) & (F.col("__high") < F.col("__below") + F.col("__in")), 0).otherwise(1)).alias("wrong"),
+                            F.max("__distinct").alias("most")).first()
+        if not proof["wrong"]:
+            break
+        margin *= 8  # at 1 and more brackets are whole groups
+    most = proof["most"] or 0
+    while most > few:
+        inside, places = _narrowed(inside, places, keys)
+        most, before = inside.groupBy(*keys).count().agg(F.max("count")).first()[0], most
+        if most >= before:
+            break
+    zero = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+
+    def step(acc, x):
+        upto = acc["seen"] + x["copies"]
+        holds = lambda k: (acc["seen"] <= k) & (k < upto)
+        return F.struct(upto.alias("seen"), F.when(holds(F.col("__low") - F.col("__below")), x["value"]).otherwise(acc["lo"]).alias("lo"),
+                        F.when(holds(F.col("__high") - F.col("__below")), x["value"]).otherwise(acc["hi"]).alias("hi"))
+
+    lists = inside.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("value", "copies"))).alias("__a"))  # ``few`` entries
+    found = null_safe_join(places, lists, keys).withColumn("__f", F.aggregate("__a", zero, step))
+    frac = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("__j") + 1) * (F.col("n") - 1) - F.col("__low")
+    found = found.withColumn("__q", F.col("__f.lo") + frac * (F.col("__f.hi") - F.col("__f.lo")))
+    picks = [F.max(F.when(F.col("__j") == j, F.col("__q"))).alias(name) for j, name in enumerate(names)]
+    return found.groupBy(*by).agg(*picks) if by else found.agg(*picks)
+
+
+def exact_fences(df: DataFrame, value: str, by: Sequence[str] = (), k: float = 1.5) -> DataFrame:
     """Quartiles, and what lies beyond ``k`` interquartile ranges of them, per group.
 
     Returns ``(*by, n, q1, median, q3, lower_whisker, upper_whisker, n_outliers)``.
-    A cell wholly inside or outside the fences is settled by its minimum,
-    maximum and count; only the cells a fence cuts through are read again.
     """
-    by = list(by)
-    celled = _celled(_present(df, value, by), cells)
-    sums = _cell_sums(celled, by, F.lit(1))
-    quart = _quantiles(celled, sums, {"q1": .25, "median": .5, "q3": .75}, by)
-    fenced = with_stats(sums, quart, by, ["q1", "median", "q3"])
+    by, rows = list(by), _present(df, value, by)
+    quart = materialise(exact_quantiles(df, value, {"q1": .25, "median": .5, "q3": .75}, by))
     reach = k * (F.col("q3") - F.col("q1"))
-    fenced = fenced.withColumns({"__low": F.col("q1") - reach, "__high": F.col("q3") + reach})
-    low, high, least, most = (F.col(c) for c in ("__low", "__high", "__least", "__most"))
-    cut = ((least < low) & (most >= low)) | ((least <= high) & (most > high))
-    inside = (least >= low) & (most <= high)
-    settled = fenced.select(
-        *by, "q1", "median", "q3", "total",
-        F.when(~cut & inside, least).alias("__a"), F.when(~cut & inside, most).alias("__b"),
-        F.when(~cut & ~inside, F.col("__here")).otherwise(0).alias("__out"))
-    open_cells = fenced.where(cut).select(*by, "__cell", "q1", "median", "q3", "total", "__low", "__high")
+    limits = quart.withColumns({"__low": F.col("q1") - reach, "__high": F.col("q3") + reach})
+    names = ["q1", "median", "q3", "__low", "__high"]
     v = F.col("value")
-    ok = (v >= low) & (v <= high)
-    opened = _values_in(celled, open_cells, by).select(
-        *by, "q1", "median", "q3", "total", F.when(ok, v).alias("__a"), F.when(ok, v).alias("__b"),
-        F.when(ok, 0).otherwise(F.col("copies")).alias("__out"))
-    both = settled.unionByName(opened)
-    aggs = [F.max("total").alias("n"), *[F.max(c).alias(c) for c in ("q1", "median", "q3")],
-            F.min("__a").alias("lower_whisker"), F.max("__b").alias("upper_whisker"), F.sum("__out").alias("n_outliers")]
-    return both.groupBy(*by).agg(*aggs) if by else both.agg(*aggs)
+    ok = v.between(F.col("__low"), F.col("__high"))
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in names[:3]], F.min(F.when(ok, v)).alias("lower_whisker"),
+            F.max(F.when(ok, v)).alias("upper_whisker"), F.count_if(~ok).alias("n_outliers")]
+    fenced = with_stats(rows, limits, by, names)
+    return fenced.groupBy(*by).agg(*aggs) if by else fenced.agg(*aggs)
 
 
 def population_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank",

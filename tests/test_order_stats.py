@@ -23,10 +23,10 @@ def spark_frame(spark, pdf):
     return spark.createDataFrame(rows, "g string, v double").repartition(7)
 
 
-@pytest.mark.parametrize("cells", [16, 256])
-def test_quantiles_match_numpy(spark, skewed, cells):
+@pytest.mark.parametrize("few", [16, 20000])
+def test_quantiles_match_numpy(spark, skewed, few):
     probs = {"a": 0.0, "b": 0.1, "c": 0.25, "d": 0.5, "e": 0.937, "f": 1.0}
-    got = {r["g"]: r for r in exact_quantiles(spark_frame(spark, skewed), "v", probs, ["g"], cells).collect()}
+    got = {r["g"]: r for r in exact_quantiles(spark_frame(spark, skewed), "v", probs, ["g"], few).collect()}
     for g, part in skewed.dropna(subset=["v"]).groupby("g", dropna=False):
         key = None if isinstance(g, float) else g
         for name, p in probs.items():
@@ -67,3 +67,22 @@ def test_attach_keeps_every_row_of_a_hot_key(spark):
     stats = rows.groupBy("k").agg(F.count("*").alias("n"))
     out = attach_stats(rows, stats, ["k"])
     assert out.count() == 3000 and out.where("k = 'hot' and n = 1000").count() == 1000
+
+
+@pytest.mark.parametrize("few", [40, 20000])
+def test_quantiles_of_one_large_close_group(spark, few):
+    """A group with nearly all rows in a narrow range, next to rows far away, and many copies of one value."""
+    rng = np.random.default_rng(3)
+    hot = np.concatenate([1e6 + rng.random(50000) * 1e-3, np.full(20000, 1e6 + 5e-4)])
+    far = np.concatenate([rng.normal(size=5000) * 1e9, [-1e300, 1e300]])
+    df = spark.createDataFrame(pd.DataFrame({"g": [1] * len(hot) + [2] * len(far), "v": np.concatenate([hot, far])})).repartition(5)
+    probs = {"a": 0.001, "b": 0.25, "c": 0.5, "d": 0.9, "e": 0.9999}
+    got = {r["g"]: r for r in exact_quantiles(df, "v", probs, ["g"], few).collect()}
+    for g, v in ((1, hot), (2, far)):
+        for name, p in probs.items():
+            assert got[g][name] == pytest.approx(np.quantile(v, p), rel=1e-15, abs=1e-9)
+
+
+def test_no_ordered_window_over_values(spark, skewed):
+    df = exact_fences(spark_frame(spark, skewed), "v", ["g"])
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
