@@ -236,6 +236,35 @@ def ranking_stationary_k24(spark, d):
     return dep.rank_households(materialise(scores.where("valid")))
 
 
+COMPLETE = """
+SELECT {keys}, gcc, CASE WHEN gcc IS NOT NULL THEN rank() OVER ({part}ORDER BY gcc DESC NULLS LAST) END AS ranking FROM scores"""
+
+
+def _complete(scores):
+    """Scores of all meters; those whose correlation matrices are not positive definite have none and no rank."""
+    return materialise(scores.withColumn("gcc", F.when(F.col("valid"), F.col("gcc"))))
+
+
+@query("ranking_by_season_k24_complete", "meter temporada ranking", "gcc", sql=f"""
+WITH RECURSIVE {SEASON_WEEK},
+{lags_sql('week', 'meter, temporada', 24, 'spearman')},
+{gcc_sql('meter, temporada', 24)}""" + COMPLETE.format(keys="meter, temporada", part="PARTITION BY temporada "))
+def ranking_by_season_k24_complete(spark, d):
+    scores = dep.gcc_by_household(_seasoned(spark, d), "meter", "ts", "energy", "temperature", 24)
+    return dep.rank_households(_complete(scores), ["temporada"])
+
+
+@query("ranking_stationary_k24_complete", "meter ranking", "gcc", sql=f"""
+WITH RECURSIVE {STATIONARY},
+{week_sql('stationary')},
+{lags_sql('week', 'meter', 24, 'spearman')},
+{gcc_sql('meter', 24)}""" + COMPLETE.format(keys="meter", part=""))
+def ranking_stationary_k24_complete(spark, d):
+    """All households of the stationary, home-masked series, also those without a valid GCC over 24 lags."""
+    scores = dep.gcc_by_household(stationary_rows(spark, d), "meter", "ts", "energy", "temperature", 24, by_seasons=False)
+    return dep.rank_households(_complete(scores))
+
+
 RANKED = K1 + """,
 ranked_scores AS (
   SELECT meter, gcc, CASE WHEN gcc IS NOT NULL THEN rank() OVER (ORDER BY gcc DESC NULLS LAST) END AS ranking

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalogue import tables as t
 from catalogue.preparation import BLOCKS, REGION_BLOCKS
 from catalogue.registry import query
-from meterlab.functions.calendar import season_of
+from meterlab.functions.calendar import season_levels, season_of
 from meterlab.operators import activity, profiles as pf
 from meterlab.operators.order_stats import exact_quantiles
 
@@ -359,6 +359,24 @@ def variable_pairs(spark, d):
     return pf.variable_pairs(t.table(spark, d, "lineitem"), "l_quantity", CONTINUOUS, ["l_orderkey", "l_linenumber"])
 
 
+@query("display_sample", "l_orderkey l_linenumber", "l_quantity l_extendedprice", sql="""
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
+ORDER BY md5(l_orderkey || ':' || l_linenumber || ':7'), l_orderkey, l_linenumber LIMIT 500""")
+def display_sample(spark, d):
+    return pf.display_sample(t.table(spark, d, "lineitem"), 500, ["l_orderkey", "l_linenumber"])
+
+
+@query("season_profile_ordered", "season place n", "energy", sql=f"""
+WITH {t.SALES_HOURLY},
+levels AS (SELECT * FROM (VALUES ('Winter', 1), ('Spring', 2), ('Summer', 3), ('Autumn', 4)) AS v(season, place)),
+seasoned AS (SELECT *, {t.season_sql()} AS season FROM sales_hourly)
+SELECT season, CAST(place AS BIGINT) AS place, count(energy) AS n, avg(energy) AS energy FROM levels LEFT JOIN seasoned USING (season) GROUP BY ALL""")
+def season_profile_ordered(spark, d):
+    """All seasons in the order of the year, also those without rows."""
+    rows = t.sales_hourly(spark, d).groupBy(season_of(F.col("ts")).alias("season")).agg(F.count("energy").alias("n"), F.avg("energy").alias("energy"))
+    return season_levels(spark).join(rows, "season", "left").fillna(0, ["n"]).orderBy("place")
+
+
 @query("pca", "component variable", "explained loading")
 def pca(spark, d):
     return pf.pca(t.table(spark, d, "lineitem"), CONTINUOUS, 3)

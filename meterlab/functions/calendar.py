@@ -30,6 +30,11 @@ def season_of(ts: Column) -> Column:
     return expr
 
 
+def season_levels(spark) -> DataFrame:
+    """The seasons in the order of the year: ``season`` and its ``place`` from 1, to sort and join by."""
+    return spark.createDataFrame([(s, i + 1) for i, s in enumerate(SEASON_ORDER)], "season string, place int")
+
+
 def temporada_of(season: Column) -> Column:
     """Two-way split of the year: summer is ``warm``, the rest ``cold``."""
     return F.when(season == "Summer", "warm").when(season.isNotNull(), "cold")

@@ -339,6 +339,16 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return moments.select(F.inline(pairs))
 
 
+def display_sample(df: DataFrame, rows: int, keys: Sequence[str], seed: int = 7) -> DataFrame:
+    """Exactly ``rows`` rows (or all, if fewer) with the least hashes of ``keys`` and ``seed``, ties by the keys.
+
+    The same rows in every run and for any partitioning; partitions keep their own ``rows`` least, so nothing is sorted
+    as a whole.  Samples of parts of a table merge to the sample of the table.
+    """
+    name = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
+    return df.withColumn("__lot", F.md5(name)).orderBy("__lot", *keys).limit(rows).drop("__lot")
+
+
 def variable_pairs(df: DataFrame, anchor: str, cols: Sequence[str], keep: Sequence[str] = (),
                    fraction: float | None = None, seed: int = 1) -> DataFrame:
     """All variables against one anchor, long form; optionally a display sample of rows."""
