@@ -5,5 +5,5 @@ def load() -> None:
     """Import every module that registers queries."""
     from importlib import import_module
 
-    for name in ("preparation", "stationary", "profiles", "dependence", "clusters"):
+    for name in ("sources", "preparation", "stationary", "profiles", "dependence", "clusters"):
         import_module(f"catalogue.{name}")

@@ -68,3 +68,19 @@ def test_audit_and_stage_tables(spark, tmp_path):
 def test_households(spark, tmp_path):
     (tmp_path / "hh.csv").write_text("LCLid,stdorToU,Acorn,Acorn_grouped,file\nMAC1,Std,ACORN-A,Affluent,block_0\n")
     assert readers.read_households(spark, str(tmp_path / "hh.csv")).first()["Acorn_grouped"] == "Affluent"
+
+
+def test_blocks_are_pruned_and_rewritten_alone(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from meterlab.sources.readers import read_stage
+    from meterlab.sources.writers import write_by_block
+
+    path = str(tmp_path / "blocks")
+    df = spark.range(1000).select("id", F.concat(F.lit("b"), F.col("id") % 4).alias("file"))
+    write_by_block(df, path)
+    one = read_stage(spark, path).where("file = 'b2'")
+    assert one.count() == 250
+    assert "PartitionFilters: [isnotnull(file" in one._jdf.queryExecution().executedPlan().toString()
+    write_by_block(df.where("file = 'b2' and id < 100"), path, overwrite="dynamic")
+    assert read_stage(spark, path).groupBy("file").count().orderBy("file").collect() == [("b0", 250), ("b1", 250), ("b2", 25), ("b3", 250)]
