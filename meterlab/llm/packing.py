@@ -2,9 +2,9 @@
 
 The token stream of a range of documents is cut into windows of at most ``length`` ids.  Cuts may lie at
 document ends (free), after a token that ends a sentence (``sentence_cost``) and, where a sentence is longer
-than a window, anywhere (``hard_cost``).  The cuts minimise padding plus these truncation costs; the best
-predecessor of each cut is the head of a monotone queue over the windows that can reach it, so the work is
-linear in the cuts.
+than a window, anywhere (``hard_cost``).  Within a run of about ``RUN`` ids the cuts minimise padding plus these
+truncation costs; the best predecessor of each cut is the head of a monotone queue over the windows that can reach
+it, so the work is linear in the cuts.
 
 Null text counts as empty (only the end id); equal doc_ids and repeated rows are documents of their own, in
 the order of their texts; an empty table gives no pieces; other columns are ignored.
@@ -60,19 +60,30 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, length: int) -> list[int]:
 
 def candidates(ids: np.ndarray, ends: np.ndarray, closes: np.ndarray, length: int, sentence_cost: float,
                hard_cost: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places where the stream may be cut, with their costs."""
+    """Places where the stream may be cut, with their costs.
+
+    In a stretch longer than a window any place will do.  Padding depends on the number of cuts there only, so whole
+    windows from each cut that reaches into the stretch are enough: no other place gives less.
+    """
     soft = np.flatnonzero(closes[ids]) + 1
     at = np.union1d(soft, ends)
     at = np.concatenate([[0], at[at > 0]])
     cost = np.full(len(at), sentence_cost)
     cost[np.isin(at, ends)] = 0
     cost[0] = 0
-    wide = np.flatnonzero(np.diff(at) > length)
-    if len(wide):
-        extra = np.concatenate([np.arange(at[i] + length, at[i + 1], length) for i in wide])
-        order = np.argsort(np.concatenate([at, extra]), kind="stable")
-        cost = np.concatenate([cost, np.full(len(extra), hard_cost)])[order]
-        at = np.concatenate([at, extra])[order]
+    extra = [np.empty(0, np.int64)]
+    for i in np.flatnonzero(np.diff(at) > length).tolist():
+        # all windows between the last cut before a stretch and the first behind it may as well be full but for one
+        begins = np.concatenate([extra[-1], at[max(0, i + 1 - length):i + 1]])
+        begins = np.unique(begins[begins > at[i] - length])
+        rows = np.arange(length, at[i + 1] - begins[0], length)
+        inside = (rows[:, None] + begins).ravel()
+        extra.append(inside[inside < at[i + 1]])
+    hard = np.concatenate(extra)
+    if len(hard):
+        order = np.argsort(np.concatenate([at, hard]), kind="stable")
+        cost = np.concatenate([cost, np.full(len(hard), hard_cost)])[order]
+        at = np.concatenate([at, hard])[order]
     return at, cost
 
 

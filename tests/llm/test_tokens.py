@@ -12,7 +12,7 @@ from llm.conftest import messy_rows
 
 from meterlab.llm.bytes import utf8
 from meterlab.llm.huffman import Decoder, canonical_codes, code_lengths, encode_bits, read_tokens, write_tokens
-from meterlab.llm.packing import best_cuts, pack
+from meterlab.llm.packing import best_cuts, candidates, pack
 from meterlab.llm.queries import vocabulary
 from meterlab.llm.tokens import Encoder
 
@@ -62,6 +62,39 @@ def test_cuts_are_the_cheapest(steps, cost):
     assert last == len(at) - 1 and total == pytest.approx(best[last])
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(0, 3)), min_size=1, max_size=8), st.integers(2, 9), st.integers(0, 6), st.integers(0, 9), st.randoms())
+def test_cuts_anywhere_in_wide_stretches_are_the_cheapest(sizes, length, soft, extra, rng):
+    ends = np.cumsum([n for n, _ in sizes])
+    ids = np.zeros(int(ends[-1]), np.uint32)
+    for (n, marks), end in zip(sizes, ends, strict=True):
+        for _ in range(marks):
+            ids[end - 1 - rng.randrange(n)] = 1
+    hard = soft + extra
+    own = {0, *ends.tolist(), *(np.flatnonzero(ids) + 1).tolist()}
+    price = {p: 0 if p in ends else soft for p in own}
+    for a, b in zip(sorted(own), sorted(own)[1:], strict=False):
+        price |= {p: hard for p in range(a + 1, b) if b - a > length}
+    best = {0: 0}
+    for p in range(1, len(ids) + 1):
+        if p in price:
+            best[p] = price[p] + min(best[q] + length - (p - q) for q in range(max(0, p - length), p) if q in best)
+    at, cost = candidates(ids, ends, np.array([False, True]), length, soft, hard)
+    assert all(price[p] == c for p, c in zip(at[1:].tolist(), cost[1:].tolist(), strict=True))
+    cuts = at[best_cuts(at, cost, length)].tolist()
+    assert cuts[-1] == len(ids)
+    assert sum(price[p] + length - (p - q) for q, p in zip([0, *cuts], cuts, strict=False)) == best[len(ids)]
+
+
+@pytest.mark.parametrize("n", [2100, 3000, 4100])
+def test_texts_without_sentences_are_packed_tightly(spark, n):
+    rows = [(i, " ".join(["the"] * (n - 1))) for i in range(60)]
+    pieces = pack(spark.createDataFrame(rows, "doc_id bigint, text string"), vocabulary(WORD)).collect()
+    by_seq = check_pieces(pieces, rows)
+    assert sum(p.length for p in pieces) == 60 * n
+    assert 60 * n / (2048 * len(by_seq)) > 0.95
+
+
 def check_pieces(pieces, rows, length=2048):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for p in pieces:
