@@ -1,10 +1,10 @@
 """Quality rules and cross-document line frequency.
 
 Lines that stand in too many documents of one host (navigation, licences, disclaimers) are removed: more than
-``min_docs`` documents and more than ``share`` of the host's, or, if given, more than ``always`` documents
-whatever the host's size.  The first two alone can't judge hosts of up to ``min_docs`` documents, and ask more of
-a line the larger its host is.  A document is rejected if its base rules fail or if the removal depletes it:
-fewer than ``min_words`` words left, or less than ``min_left`` of its words.
+``min_docs`` documents and more than ``share`` of the host's, which tells in small hosts, or more than ``always``
+documents whatever the host's size (None: no such limit, so that a line must stand in more documents the larger its
+host is).  A document is rejected if its base rules fail or if the removal depletes it: fewer than ``min_words``
+words left, or less than ``min_left`` of its words.
 
 Native: built-in column functions only.  Lines are compared by the hash of (host, lower-cased line with single
 blanks); a line counts once per document.  Null text has no words (its base rule fails); null hosts are one
@@ -71,8 +71,8 @@ def base_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     return found.withColumn("base_failed", failed)
 
 
-def line_frequency(docs: DataFrame, host: str = "source", min_docs: int = 50, share: float = 0.05, min_words: int = 10,
-                   min_left: float = 0.3, always: int | None = None) -> DataFrame:
+def line_frequency(docs: DataFrame, host: str = "source", min_docs: int = 2, share: float = 0.05, min_words: int = 10,
+                   min_left: float = 0.3, always: int | None = 50) -> DataFrame:
     """The counts and verdicts of every document: n_left is what the removal of frequent lines leaves."""
     rules, _ = keep(base_rules(docs, host).withColumn("__row", F.monotonically_increasing_id()))
     seen = rules.select("__host", F.explode(F.array_distinct(F.transform("__lines", lambda x: x["key"]))).alias("key"))

@@ -58,14 +58,15 @@ def op2(spark, d):
 
 @query("op3_line_frequency", sql=twins.OP3)
 def op3(spark, d):
+    """Lines in three documents and 5 % of the host's, or in more than 50 documents of a host of any size."""
     return line_frequency(table(spark, d, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left")
 
 
-@query("op3_line_frequency_any_host", sql=twins.OP3_ANY_HOST)
-def op3_any_host(spark, d):
-    """Three documents and 5 % of the host's, or more than 50 documents in a host of any size."""
-    return line_frequency(table(spark, d, "documents"), min_docs=2, always=50).select(
+@query("op3_line_frequency_large_hosts", sql=twins.OP3_LARGE_HOSTS)
+def op3_large_hosts(spark, d):
+    """Only lines in more than 50 documents and 5 % of the host's: hosts of up to 50 documents keep all lines."""
+    return line_frequency(table(spark, d, "documents"), min_docs=50, always=None).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left")
 
 

@@ -45,7 +45,7 @@ lines AS (
 dup AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY row),
 hosts AS (SELECT source, count(*) AS d FROM docs GROUP BY source),
 often AS (SELECT source, norm, count(DISTINCT row) AS c FROM lines GROUP BY source, norm),
-common AS (SELECT o.source, o.norm FROM often o JOIN hosts h ON o.source IS NOT DISTINCT FROM h.source WHERE c > 50 AND c > d * 0.05),
+common AS (SELECT o.source, o.norm FROM often o JOIN hosts h ON o.source IS NOT DISTINCT FROM h.source WHERE c > 50 OR (c > 2 AND c > d * 0.05)),
 cut AS (SELECT row, sum(n) AS cut FROM lines l JOIN common c ON l.norm = c.norm AND l.source IS NOT DISTINCT FROM c.source GROUP BY row),
 windows AS (SELECT row, i, array_to_string(ws[i:i + 4], ' ') AS k FROM docs, unnest(range(1, len(ws) - 3)) t(i)),
 twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, k) AS c FROM windows) WHERE c > 1),
@@ -59,7 +59,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(length(array_to_string(w
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_left >= 10 AND n_left >= n_words * 0.3 AS kept, CAST(n_left AS BIGINT) AS n_left
 FROM rules"""
 
-OP3_ANY_HOST = OP3.replace("c > 50 AND c > d * 0.05", "c > 50 OR (c > 2 AND c > d * 0.05)")
+OP3_LARGE_HOSTS = OP3.replace("c > 50 OR (c > 2 AND c > d * 0.05)", "c > 50 AND c > d * 0.05")
 
 OP4 = f"""
 WITH docs AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),

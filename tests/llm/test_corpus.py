@@ -97,9 +97,27 @@ def test_frequent_lines_in_hosts_of_any_size(spark):
             want[len(rows)] = 40 + 5 * (len(held) - len(gone))
             rows.append((len(rows), "\n".join([*held, prose(rng, 40)]), None, host, 1))
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = {r.doc_id: r.n_left for r in line_frequency(docs, min_docs=2, always=50).collect()}
-    assert got == want
-    assert twins.OP3_ANY_HOST != twins.OP3
+    assert {r.doc_id: r.n_left for r in line_frequency(docs).collect()} == want
+    assert twins.OP3_LARGE_HOSTS != twins.OP3
+
+
+@pytest.mark.parametrize("limits", [(2, 0.05, 50), (1, 0.0, None), (5, 0.9, 2)])
+def test_words_left_without_frequent_lines(messy, limits):
+    least, share, always = limits
+    host_docs, line_docs, lines = Counter(), defaultdict(set), []
+    for row, (_, text, _, source, *_) in enumerate(messy_rows()):
+        host_docs[source] += 1
+        own = [" ".join(brute.words(x.lower())) for x in (text or "").split("\n") if brute.words(x)]
+        lines.append((source, own))
+        for x in own:
+            line_docs[source, x].add(row)
+    common = {(host, x) for (host, x), rows in line_docs.items()
+              if len(rows) > least and len(rows) > share * host_docs[host] or always is not None and len(rows) > always}
+    assert common
+    want = [(doc_id, len(brute.words(text)) - sum(len(x.split(" ")) for x in own if (host, x) in common))
+            for (doc_id, text, *_), (host, own) in zip(messy_rows(), lines, strict=True)]
+    got = line_frequency(messy, min_docs=least, share=share, always=always)
+    assert rows_of(got.select("doc_id", "n_left")) == sorted(want, key=repr)
 
 
 @settings(max_examples=50, deadline=None)
