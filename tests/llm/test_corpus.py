@@ -359,6 +359,19 @@ def test_quality(spark, messy, empty, clashing):
     assert not features(pa.array([None, ""], pa.string())).any()
 
 
+@pytest.mark.parametrize("share", [0.3, 0.8])
+def test_prior_needs_no_negatives(spark, share):
+    rng = random.Random(5)
+    good = [rng.random() < share for _ in range(1500)]
+    rows = [(i, prose(rng, 60) if g else " ".join(w + rng.choice(["###", "$$$"]) for w in prose(rng, 60).split()), None, None, 0) for i, g in enumerate(good)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    shown = [(i, int(g)) for i, g in enumerate(good) if g and i % 2 or not g and i % 50 == 0]  # most negatives hidden
+    prior, model = train(docs, spark.createDataFrame(shown, "doc_id bigint, quality int"), F.lit(True))
+    assert prior == pytest.approx(sum(good) / len(good), abs=0.08)
+    wrong = sum(r.predicted != good[r.doc_id] for r in classify(docs, (prior, model)).collect())
+    assert wrong < 30
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
