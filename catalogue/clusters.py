@@ -10,6 +10,7 @@ from catalogue.registry import query
 from catalogue.stationary import DIFF, LAYER1, LAYER2, _user_prepared
 from meterlab.operators import association as assoc, cluster as cl
 from meterlab.operators.stationary import heavily_imputed
+from meterlab.sources.stages import materialise
 
 TAUS = (.1, .5, .9)
 NAMES = [cl.feature_name(a, b, 1) for a in TAUS for b in TAUS]
@@ -64,6 +65,34 @@ def cluster_twice(spark, d):
     return cl.cluster_twice(t.user_hourly(spark, d), "meter", "ts", "energy", min_size=5)[0]
 
 
+# What a Ward partition must fulfil, recomputed from points and labels; the cut itself has no SQL twin.
+CERTIFICATE = "n missing misnamed too_close too_loose split_copies"
+SOUND = ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in CERTIFICATE.split()[1:])
+COMPLETE = " AND ".join(f"{n} IS NOT NULL" for n in NAMES)
+
+
+@query("ward_certificate", CERTIFICATE, sql=f"WITH {QAF} SELECT count(*) AS n, {SOUND} FROM qaf WHERE {COMPLETE}")
+def ward_certificate(spark, d):
+    points = materialise(cl.as_vectors(_features(spark, d), "meter", NAMES))
+    return cl.ward_certificate(points, "meter", cl.ward_clusters(points, "meter", 0.5), 0.5)
+
+
+@query("cluster_twice_certificate", "second " + CERTIFICATE, sql=f"""
+WITH {QAF}, pts AS (SELECT meter FROM qaf WHERE {COMPLETE})
+SELECT false AS second, count(*) AS n, {SOUND} FROM pts UNION ALL SELECT true, count(*), {SOUND} FROM pts""")
+def cluster_twice_certificate(spark, d):
+    """Both passes: all households at 0.7, those of large clusters at 0.5; ``n`` of the second counts the dropped ones too."""
+    points = materialise(cl.as_vectors(_features(spark, d), "meter", NAMES))
+    first = materialise(cl.ward_clusters(points, "meter", 0.7))
+    names = materialise(cl.small_clusters(first, "meter", "cluster", 5))
+    dropped = names.where(F.col("label") == cl.OUTLIER).select("meter")
+    kept = materialise(points.join(dropped, "meter", "left_anti"))
+    one = cl.ward_certificate(points, "meter", first, 0.7).withColumn("second", F.lit(False))
+    two = cl.ward_certificate(kept, "meter", cl.ward_clusters(kept, "meter", 0.5), 0.5)
+    two = two.withColumn("n", F.col("n") + dropped.agg(F.count(F.lit(1))).scalar())
+    return one.unionByName(two.withColumn("second", F.lit(True)))
+
+
 @query("small_clusters", "id acorn label", sql=f"""
 WITH {t.HOUSEHOLDS},
 sizes AS (SELECT acorn, count(*) AS n, min(id) AS first FROM households GROUP BY acorn),

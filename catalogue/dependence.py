@@ -449,3 +449,64 @@ b AS (SELECT CAST(ceil(gcc / 0.01 - 0.5 - 1e-8) AS BIGINT) AS bin, count(*) AS n
 SELECT bin, n, bin * 0.01 AS center, n / (sum(n) OVER () * 0.01) AS density FROM b""")
 def bootstrap_histogram(spark, d):
     return pf.histogram(bootstrap_replicates(spark, d, 40, 1), "gcc", 0.01)
+
+
+# --- six pairs on the stationary population series ---------------------------------------------------
+
+SEASONAL_PAIRS = [("energy", "temperature"), ("energy", "apparent")]
+OVERALL_PAIRS = [("energy", "humidity"), ("temperature", "humidity"), ("apparent", "humidity"), ("apparent", "temperature")]
+VARIABLES = ("energy", "temperature", "apparent", "humidity")
+
+
+def _days_sql() -> str:
+    still = ", ".join(f"{c} - lag({c}, 24) OVER w AS {c}" for c in VARIABLES)
+    scaled = ", ".join(f"round(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 9) AS {c}" for c in VARIABLES)
+    joined = "energy_2 " + " ".join(f"JOIN {c}_2 USING (meter, ts)" for c in VARIABLES[1:])
+    return f"""{t.POPULATION_DAYS},
+still AS (SELECT meter, ts, {still} FROM population WINDOW w AS (ORDER BY ts)),
+""" + ",\n".join(_layers(c, "still") for c in VARIABLES) + f""",
+scaled AS (SELECT CAST(ts AS DATE) AS date, {scaled}, {t.season_sql('ts')} AS season FROM {joined}),
+daily AS (SELECT *, {t.TEMPORADA} AS temporada FROM scaled)"""
+
+
+def pairs_boot_sql(replicates: int, seed: int = 123) -> str:
+    long = [f"SELECT temporada, '{a}~{b}' AS pair, date, {a} AS sx, {b} AS sy FROM daily" for a, b in SEASONAL_PAIRS]
+    long += [f"SELECT 'all', '{a}~{b}', date, {a}, {b} FROM daily" for a, b in OVERALL_PAIRS]
+    return f"""{_days_sql()},
+series AS (SELECT *, row_number() OVER (PARTITION BY temporada, pair ORDER BY date) - 1 AS slot FROM ({' UNION ALL '.join(long)})),
+sizes AS (SELECT temporada, pair, count(*) AS n, greatest(1, CAST(round(count(*) / 4.0) AS BIGINT)) AS len FROM series GROUP BY 1, 2),
+points AS (
+  SELECT temporada, pair, replicate, pos, n, len, pos // len AS block FROM sizes,
+    (SELECT unnest(range(1, {replicates + 1})) AS replicate), (SELECT unnest(range((SELECT max(n) FROM sizes))) AS pos) WHERE pos < n),
+drawn AS (
+  SELECT temporada, pair, replicate, pos,
+    (CAST('0x' || substr(md5('{seed}:' || replicate || ':' || block), 1, 8) AS BIGINT) % n + pos - block * len) % n AS slot
+  FROM points),
+boot AS (SELECT temporada, pair, replicate, pos, sx AS x, sy AS y FROM drawn JOIN series USING (temporada, pair, slot))"""
+
+
+def _pair_days(spark, d):
+    return plan.daily_stationary(t.population(spark, d, "day"), "ts", "energy", "seasonal_difference", cols=VARIABLES)
+
+
+@query("bootstrap_pairs_k7", "temporada pair replicate", "gcc", sql=f"""
+WITH RECURSIVE {pairs_boot_sql(12)},
+{lags_sql('boot', 'temporada, pair, replicate', 7, 'spearman')},
+{gcc_sql('temporada, pair, replicate', 7)}
+SELECT * FROM scores WHERE gcc IS NOT NULL""")
+def bootstrap_pairs_k7(spark, d):
+    """The first twelve replicates of ``bootstrap_pairs_full``, score by score: starts depend on seed and replicate only."""
+    return plan.pair_samples(_pair_days(spark, d), SEASONAL_PAIRS, OVERALL_PAIRS, 12, 7).where("valid")
+
+
+@query("bootstrap_pairs_full", "temporada pair n", "ci_low ci_high")
+def bootstrap_pairs_full(spark, d):
+    """Six pairs, 10,000 replicates each, on the stationary daily population series: two by season, four from all days."""
+    return plan.pair_intervals(plan.pair_samples(_pair_days(spark, d), SEASONAL_PAIRS, OVERALL_PAIRS))
+
+
+@query("bootstrap_pairs_full_mstl", "temporada pair n", "ci_low ci_high")
+def bootstrap_pairs_full_mstl(spark, d):
+    """The same from the hourly population series without its daily and weekly cycles."""
+    days = plan.daily_stationary(t.population(spark, d), "ts", "energy", cols=VARIABLES)
+    return plan.pair_intervals(plan.pair_samples(days, SEASONAL_PAIRS, OVERALL_PAIRS))

@@ -377,7 +377,32 @@ def season_profile_ordered(spark, d):
     return season_levels(spark).join(rows, "season", "left").fillna(0, ["n"]).orderBy("place")
 
 
-@query("pca", "component variable", "explained loading")
+def pca_sql(src: str, cols: list[str], k: int) -> str:
+    """Leading eigenvectors of the correlation matrix: squared often, a matrix becomes the projection on its first
+    eigenvector; what that explains is taken off, and the rest is squared again."""
+    cells = [f"SELECT {i} AS i, {j} AS j, corr({a}, {b}) AS v FROM complete" for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    parts = [f"complete AS (SELECT * FROM {src} WHERE {' AND '.join(c + ' IS NOT NULL' for c in cols)})",
+             "a1 AS (" + " UNION ALL ".join(cells) + ")"]
+    for c in range(1, k + 1):
+        parts.append(f"""p{c} AS (
+  SELECT 0 AS step, i, j, v FROM a{c}
+  UNION ALL
+  SELECT step, i, j, v / sqrt(sum(v * v) OVER ()) AS v FROM (
+    SELECT x.step + 1 AS step, x.i, y.j, sum(x.v * y.v) AS v FROM p{c} x JOIN p{c} y ON x.j = y.i WHERE x.step < 48 GROUP BY ALL)),
+f{c} AS (SELECT i, j, v FROM p{c} WHERE step = 48),
+raw{c} AS (SELECT i, v / sqrt((SELECT max(v) FROM f{c} WHERE i = j)) AS v FROM f{c}
+           WHERE j = (SELECT arg_max(i, v) FROM f{c} WHERE i = j)),
+sign{c} AS (SELECT arg_min(sign(v), i) AS s FROM raw{c} WHERE abs(v) >= (SELECT max(abs(v)) FROM raw{c}) / 2),
+u{c} AS (SELECT i, v * s AS v FROM raw{c}, sign{c}),
+l{c} AS (SELECT sum(x.v * m.v * y.v) AS root FROM a{c} m JOIN u{c} x ON m.i = x.i JOIN u{c} y ON m.j = y.i),
+a{c + 1} AS (SELECT m.i, m.j, m.v - root * x.v * y.v AS v FROM a{c} m JOIN u{c} x ON m.i = x.i JOIN u{c} y ON m.j = y.i, l{c})""")
+    names = "[" + ", ".join(f"'{c}'" for c in cols) + "]"
+    rows = [f"SELECT CAST({c} AS BIGINT) AS component, {names}[i + 1] AS variable, root / {len(cols)} AS explained, v AS loading FROM u{c}, l{c}"
+            for c in range(1, k + 1)]
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + " UNION ALL ".join(rows)
+
+
+@query("pca", "component variable", "explained loading", sql=pca_sql("lineitem", CONTINUOUS, 3))
 def pca(spark, d):
     return pf.pca(t.table(spark, d, "lineitem"), CONTINUOUS, 3)
 

@@ -133,3 +133,36 @@ def stationary_mstl(spark, d):
     home = activity.detect_home(t.hourly(spark, d), "meter", "ts", "energy").drop("season")
     rows = join_weather(home, t.weather(spark, d), "ts")
     return st.stationarise(rows, ["meter"], "ts", "energy", is_home="is_home")
+
+
+# The decompositions under SQL: what any of them must fulfil, per series.
+AUDIT = "meter n n_observed centred calmer ordered"
+
+
+def audit_sql(src: str, value: str) -> str:
+    return f"""SELECT meter, count(*) AS n, count(energy) AS n_observed, avg({value}) AS observed_mean, 0.0 AS gap,
+       true AS centred, true AS calmer, true AS ordered FROM {src} GROUP BY meter"""
+
+
+@query("mstl_components_audit", AUDIT, "observed_mean gap", sql=f"WITH {t.HOURLY} {audit_sql('hourly', 'ln(1 + energy)')}")
+def mstl_components_audit(spark, d):
+    return st.audit_components(mstl_components(spark, d), ["meter"], (24, 168))
+
+
+@query("mstl_robust_audit", AUDIT, "observed_mean gap", sql=f"WITH {t.SALES_DAILY} {audit_sql('sales_daily', 'energy')}")
+def mstl_robust_audit(spark, d):
+    return st.audit_components(mstl_robust(spark, d), ["meter"], (7, 30))
+
+
+@query("stationary_mstl_audit", "meter n n_energy n_temperature known_at_home share_in_range", sql=f"""
+WITH {BLOCKS}
+SELECT meter, count(*) AS n, count(*) FILTER (is_home) AS n_energy, count(*) FILTER (is_home) AS n_temperature,
+       true AS known_at_home, true AS share_in_range FROM home GROUP BY meter""")
+def stationary_mstl_audit(spark, d):
+    """Remainders exist exactly where the household is at home; the imputed share is one value per household, 0 to 1."""
+    rows = stationary_mstl(spark, d)
+    share = F.col("pct_imputed")
+    return rows.groupBy("meter").agg(
+        F.count(F.lit(1)).alias("n"), F.count("energy").alias("n_energy"), F.count("temperature").alias("n_temperature"),
+        F.bool_and(F.col("energy").isNull() == F.col("temperature").isNull()).alias("known_at_home"),
+        ((F.min(share) >= 0) & (F.max(share) <= 1) & (F.min(share) == F.max(share))).alias("share_in_range"))

@@ -167,6 +167,19 @@ sales_daily AS (
          avg(temperature) AS temperature, avg(humidity) AS humidity
   FROM sales GROUP BY 1, 2)"""
 
+def population(spark, d, unit="hour"):
+    """One population-mean series over all line items; the discount plays the apparent temperature."""
+    at = F.timestamp_add("HOUR", F.col("l_orderkey") % 24, F.col("l_shipdate"))
+    return table(spark, d, "lineitem").groupBy(F.date_trunc(unit, at).cast("timestamp_ntz").alias("ts")).agg(
+        F.avg("l_extendedprice").alias("energy"), F.avg("l_quantity").alias("temperature"),
+        F.avg("l_discount").alias("apparent"), F.avg("l_tax").alias("humidity"))
+
+
+POPULATION_DAYS = """population AS (
+  SELECT 0 AS meter, CAST(date_trunc('day', l_shipdate + to_hours(CAST(l_orderkey % 24 AS INTEGER))) AS TIMESTAMP) AS ts,
+         avg(l_extendedprice) AS energy, avg(l_quantity) AS temperature, avg(l_discount) AS apparent, avg(l_tax) AS humidity
+  FROM lineitem GROUP BY 1, 2)"""
+
 SEASON = """CASE WHEN month({0}) IN (3, 4, 5) THEN 'Spring' WHEN month({0}) IN (6, 7, 8) THEN 'Summer'
      WHEN month({0}) IN (9, 10, 11) THEN 'Autumn' ELSE 'Winter' END"""
 

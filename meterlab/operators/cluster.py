@@ -115,13 +115,14 @@ def pairs_within(vectors: DataFrame, id_col: str, radius: float, dims: int = 3,
 
 # --- Ward ---------------------------------------------------------------------------
 
-def _merge_round(state: DataFrame, reach: float, axes: Sequence[int], salts: int = 8) -> DataFrame:
-    """Reciprocal nearest pairs (keep, gone) whose Ward height is at most ``reach``.
+def _nearest_partners(state: DataFrame, reach: float, axes: Sequence[int], salts: int = 8) -> DataFrame:
+    """Nearest partner ``(cid, e = (h2, keep, gone))`` of every cluster that has one at Ward height ``reach`` or less.
 
     A cluster of size class s (2^s members or more) can only merge within
     reach * 2^(-s/2) of a partner of the same or a larger class, so each class
     has its own grid width and large clusters are probed in narrow cells only.  The probing
-    side is salted, so a crowded cell spreads over ``salts`` tasks.
+    side is salted, so a crowded cell spreads over ``salts`` tasks, and each task keeps the
+    least edge per cluster: pairs are never shuffled.
     """
     dims = len(axes)
     base = state.withColumn("__s", F.floor(F.log2(F.col("size").cast("double"))).cast("int"))
@@ -140,9 +141,14 @@ def _merge_round(state: DataFrame, reach: float, axes: Sequence[int], salts: int
     near = probe.join(build, ["__level", "__cell", "__salt"]).where(F.col("a") != F.col("b"))
     squared = 2.0 * F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * _squared("ca", "cb")
     edges = near.withColumn("h2", squared).where(F.col("h2") <= reach * reach).select(
-        F.least("a", "b").alias("keep"), F.greatest("a", "b").alias("gone"), "h2").distinct()
+        F.least("a", "b").alias("keep"), F.greatest("a", "b").alias("gone"), "h2")
     ends = edges.select(F.explode(F.array("keep", "gone")).alias("cid"), F.struct("h2", "keep", "gone").alias("e"))
-    best = ends.groupBy("cid").agg(F.min("e").alias("e"))
+    return ends.groupBy("cid").agg(F.min("e").alias("e"))
+
+
+def _merge_round(state: DataFrame, reach: float, axes: Sequence[int]) -> DataFrame:
+    """Reciprocal nearest pairs (keep, gone) whose Ward height is at most ``reach``."""
+    best = _nearest_partners(state, reach, axes)
     both = best.groupBy(F.col("e.keep").alias("keep"), F.col("e.gone").alias("gone")).agg(F.count(F.lit(1)).alias("c"))
     return both.where(F.col("c") == 2).select("keep", "gone")
 
@@ -195,6 +201,52 @@ def _apply_merges(state: DataFrame, home: DataFrame, merges: DataFrame, id_col:
     return state, home
 
 
+def ward_certificate(vectors: DataFrame, id_col: str, clusters: DataFrame, height: float, cluster: str = "cluster",
+                     tolerance: float = 1e-9) -> DataFrame:
+    """One row that tells whether ``clusters`` can be the Ward partition of ``vectors`` cut at ``height``.
+
+    n             points with a cluster
+    missing       points without one, and ids in ``clusters`` that are no points or come twice
+    misnamed      clusters not called by their smallest member
+    too_close     clusters with another one at a Ward height of ``height`` or less (the cut stopped early)
+    too_loose     clusters whose sum of squares exceeds what merges of at most ``height`` can add up to
+                  (each adds at most height^2 / 2; copies of a point merge for nothing)
+    split_copies  points whose copies lie in several clusters
+
+    Nothing here looks at how the clusters came about: sizes, centres and sums of squares are recomputed.
+    """
+    named = clusters.select(F.col(id_col), F.col(cluster).alias("__c"))
+    sides = vectors.select(id_col, "point", F.lit(1).alias("__p")).unionByName(
+        named.withColumns({"point": F.lit(None).cast(vectors.schema["point"].dataType), "__p": F.lit(0)}).select(
+            id_col, "point", "__p", "__c"), allowMissingColumns=True)
+    ids = materialise(sides.groupBy(id_col).agg(
+        F.max("point").alias("point"), F.sum("__p").alias("__points"), F.sum(1 - F.col("__p")).alias("__names"),
+        F.max("__c").alias("__c")))
+    whole = (F.col("__points") == 1) & (F.col("__names") == 1) & F.col("__c").isNotNull()
+    missing = ids.agg(F.count(F.when(whole, 1)).alias("n"), F.count(F.when(~whole, 1)).alias("missing"))
+    members = ids.where(whole)
+    copies = members.groupBy("point").agg(F.count_distinct("__c").alias("__k"))
+    split = copies.agg(F.count(F.when(F.col("__k") > 1, 1)).alias("split_copies"))
+    # Distinct points first: a cluster of many copies is one row with a weight.
+    heavy = members.groupBy("__c", "point").agg(F.count(F.lit(1)).alias("__w"), F.min(id_col).alias("__first"))
+    axis = heavy.select("__c", "__w", F.posexplode("point").alias("axis", "v"))
+    sums = axis.groupBy("__c", "axis").agg((F.sum(F.col("v") * F.col("__w")) / F.sum("__w")).alias("mean"))
+    spread = attach_stats(axis, sums, ["__c", "axis"]).groupBy("__c").agg(
+        F.sum(F.col("__w") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))).alias("__ss"))
+    centre = sums.groupBy("__c").agg(F.array_sort(F.collect_list(F.struct("axis", "mean"))).alias("__m"))
+    sizes = heavy.groupBy("__c").agg(F.sum("__w").alias("size"), F.count(F.lit(1)).alias("__d"), F.min("__first").alias("__first"))
+    state = materialise(sizes.join(centre, "__c").join(spread, "__c").select(
+        F.col("__c").alias("cid"), "size", F.col("__m.mean").alias("centre"), "__d", "__ss", "__first"))
+    limit = (F.col("__d") - 1) * (height * height / 2)
+    shape = state.agg(F.count(F.lit(1)).alias("n_clusters"), F.count(F.when(F.col("cid") != F.col("__first"), 1)).alias("misnamed"),
+                      F.count(F.when(F.col("__ss") > limit + tolerance, 1)).alias("too_loose"))
+    near = _nearest_partners(state, height * (1 - tolerance), _widest(state, "centre", 3))
+    close = near.agg(F.count(F.lit(1)).alias("too_close"))
+    return missing.select("n", "missing", *[part.scalar().alias(name) for part, name in (
+        (shape.select("n_clusters"), "n_clusters"), (shape.select("misnamed"), "misnamed"), (close, "too_close"),
+        (shape.select("too_loose"), "too_loose"), (split, "split_copies"))])
+
+
 # --- after the cut ---------------------------------------------------------------------
 
 def small_clusters(df: DataFrame, id_col: str, cluster: str, min_size: int = 100) -> DataFrame:

@@ -191,11 +191,15 @@ def _definite(m: np.ndarray) -> bool:
 
 def gcc_value(x: np.ndarray, y: np.ndarray, k: int, method: str = "pearson") -> tuple[float, bool]:
     """GCC of two aligned series and whether their correlation matrices are positive definite."""
-    n = len(x)
-    if n <= k + 1:
+    if len(x) <= k + 1:
         return np.nan, False
+    return gcc_of_lags(*_array_lags(x, y, k, method))
+
+
+def gcc_of_lags(xx: np.ndarray, yy: np.ndarray, xy: np.ndarray, yx: np.ndarray) -> tuple[float, bool]:
+    """GCC from the correlations at lags 0..k, and whether their matrices are positive definite."""
+    k = len(xx) - 1
     lag = np.arange(k + 1)
-    xx, yy, xy, yx = _array_lags(x, y, k, method)
     offset = lag[:, None] - lag
     r_xx, r_yy = xx[abs(offset)], yy[abs(offset)]
     c = np.where(offset >= 0, xy[abs(offset)], yx[abs(offset)])

@@ -359,7 +359,8 @@ def variable_pairs(df: DataFrame, anchor: str, cols: Sequence[str], keep: Sequen
 def pca(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
     """Principal components of standardised complete rows: explained share and loadings.
 
-    The fit is distributed; the result has ``k * len(cols)`` rows.
+    The fit is distributed; the result has ``k * len(cols)`` rows.  Signs are fixed: of the loadings of at least half
+    the largest size, the first in the order of ``cols`` is positive.
     """
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 
@@ -367,6 +368,8 @@ def pca(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
     scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(rows).transform(rows)
     model = PCA(k=k, inputCol="scaled", outputCol="pc").fit(scaled)
     share, load = model.explainedVariance.toArray(), model.pc.toArray()
+    large = abs(load) >= abs(load).max(axis=0) / 2
+    load = load * [-1.0 if load[large[:, j], j][0] < 0 else 1.0 for j in range(k)]
     table = [(j + 1, float(share[j]), c, float(load[i, j])) for j in range(k) for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(table, "component int, explained double, variable string, loading double")
 

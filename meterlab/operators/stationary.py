@@ -71,6 +71,33 @@ def mstl_components(df: DataFrame, key: Sequence[str], ts: str, value: str, peri
     return df.select(*key, ts, F.col(value).cast("double").alias(value)).groupBy(*key).applyInPandas(run, schema)
 
 
+def audit_components(parts: DataFrame, key: Sequence[str], periods: Sequence[int]) -> DataFrame:
+    """One row per key on the output of ``mstl_components``: how well the parts explain the series.
+
+    n, n_observed, observed_mean  rows, known values and their mean
+    gap                           largest |observed - trend - seasonal parts - remainder|
+    centred                       every seasonal part has a mean within a tenth of the series' deviation
+    calmer                        the remainder varies less than the series
+    ordered                       no timestamp comes twice
+    """
+    names = [f"seasonal_{p}" for p in periods]
+    known = F.col("observed").isNotNull() & ~F.isnan("observed")
+    total = F.col("trend") + F.col("remainder")
+    for n in names:
+        total = total + F.col(n)
+    observed = F.when(known, F.col("observed"))
+    rows = parts.withColumns({"__x": observed, "__gap": F.abs(observed - total)})
+    sd = F.stddev_pop("__x")
+    centred = F.lit(True)
+    for n in names:
+        centred = centred & (F.abs(F.avg(n)) <= sd / 10)
+    ts = [f.name for f in parts.schema if f.name not in {*key, "observed", "trend", *names, "remainder"}]
+    return rows.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.count("__x").alias("n_observed"), F.avg("__x").alias("observed_mean"),
+        F.max("__gap").alias("gap"), centred.alias("centred"),
+        (F.stddev_pop("remainder") < sd).alias("calmer"), (F.count_distinct(*ts) == F.count(F.lit(1))).alias("ordered"))
+
+
 def mstl_remainders(df: DataFrame, key: Sequence[str], ts: str, periods: Mapping[str, Sequence[int]],
                     log1p: Sequence[str] = ()) -> DataFrame:
     """Replace each column in ``periods`` by the remainder of its decomposition."""

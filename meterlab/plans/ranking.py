@@ -68,10 +68,39 @@ def bootstrap_interval(daily: DataFrame, x: str, y: str, key: Sequence[str] = ()
     if not keys:
         work, keys = daily.withColumn("__series", F.lit(0)), ["__series"]
     placed = work.withColumn("__pos", F.row_number().over(Window.partitionBy(*keys).orderBy("date")))
-    samples = materialise(bootstrap.block_bootstrap(placed, keys, "__pos", x, y, replicates, k, seed=seed))
+    samples = materialise(bootstrap.block_bootstrap_pairs(placed, keys, "__pos", [(x, y)], replicates, k, seed=seed))
     return bootstrap.percentile_ci(samples, keys, alpha).drop("__series")
 
 
+def pair_samples(daily: DataFrame, seasonal: Sequence[tuple[str, str]], overall: Sequence[tuple[str, str]],
+                 replicates: int = 10000, k: int = 7, seed: int = 123, digits: int | None = 9) -> DataFrame:
+    """Bootstrap scores ``(temporada, replicate, pair, gcc, valid)`` of one daily stationary series.
+
+    ``seasonal`` pairs are drawn within the cold and the warm season, ``overall`` pairs from all days (``temporada``
+    is then "all").  ``digits`` rounds the values, so that means equal up to float noise are ties.
+    """
+    names = list(dict.fromkeys(c for p in (*seasonal, *overall) for c in p))
+    days = daily.select("date", "temporada", *[(F.col(c) if digits is None else F.round(c, digits)).alias(c) for c in names])
+    days = materialise(days)
+
+    def drawn(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+        placed = rows.withColumn("__pos", F.row_number().over(Window.partitionBy("temporada").orderBy("date")))
+        return bootstrap.block_bootstrap_pairs(placed, ["temporada"], "__pos", pairs, replicates, k, seed=seed)
+
+    parts = [drawn(days, seasonal)] if seasonal else []
+    if overall:
+        parts.append(drawn(days.withColumn("temporada", F.lit("all")), overall))
+    samples = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return materialise(samples)
+
+
+def pair_intervals(samples: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Percentile interval and number of valid replicates per season and pair."""
+    keys = ["temporada", "pair"]
+    counts = samples.groupBy(*keys).agg(F.count("gcc").alias("n"))
+    return bootstrap.percentile_ci(samples, keys, alpha).join(counts, keys)
+
+
 def drop_noisy(stationary: DataFrame, key: str) -> DataFrame:
     """Drop households in the top tenth of imputed share."""
     return drop_heavily_imputed(stationary, key)

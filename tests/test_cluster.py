@@ -44,6 +44,34 @@ def test_ward_equals_greedy_merges(spark, points, height, start):
     assert partition(out.collect()) == naive_ward(points, height)
 
 
+@pytest.mark.parametrize("height", [.15, .7])
+def test_ward_certificate(spark, points, height):
+    df = vectors(spark, points)
+    groups = naive_ward(points, height)
+
+    def certify(groups, name=min):
+        rows = [(i, name(g)) for g in groups for i in g]
+        return cl.ward_certificate(df, "id", spark.createDataFrame(rows, "id long, cluster long"), height).first().asDict()
+
+    right = certify(groups)
+    assert right["n"] == len(points) and right["n_clusters"] == len(groups)
+    assert not any(right[c] for c in ("missing", "misnamed", "too_close", "too_loose", "split_copies"))
+    large = max(groups, key=len)
+    rest = [g for g in groups if g != large]
+    assert certify(groups, max)["misnamed"] == sum(len(g) > 1 for g in groups)
+    assert certify(rest)["missing"] == len(large)
+    assert certify([*rest, *({i} for i in large)])["too_close"] > 1
+    assert certify([frozenset(range(len(points)))])["too_loose"] == 1
+    pair = next(g for g in groups if 0 in g)  # 0 and its copy, the fourth row from the end
+    assert certify([*(g for g in groups if g != pair), pair - {0}, {0}])["split_copies"] == 1
+
+
+def test_ward_certificate_of_nothing(spark):
+    none = spark.createDataFrame([], "id long, point array<double>")
+    got = cl.ward_certificate(none, "id", spark.createDataFrame([], "id long, cluster long"), .5).first()
+    assert got["n"] == got["missing"] == got["n_clusters"] == got["too_close"] == 0
+
+
 def test_pairs_within(spark, points):
     got = {(r["i"], r["j"]) for r in cl.pairs_within(vectors(spark, points), "id", .2).collect()}
     want = {(i, j) for i in range(len(points)) for j in range(i + 1, len(points))

@@ -142,3 +142,26 @@ def test_interval_is_ordered(spark, pair):
     ci = bs.percentile_ci(samples, ["k"]).first()
     values = np.array([r["gcc"] for r in samples.collect()])
     assert ci["ci_low"] == pytest.approx(np.quantile(values, .025)) and ci["ci_low"] <= ci["ci_high"]
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_pairs_share_replicates_and_equal_the_single_bootstrap(spark, gaps):
+    rng = np.random.default_rng(11)
+    x = np.cumsum(rng.normal(size=90))
+    cols = {"x": x, "y": np.roll(x, 2) + rng.normal(size=90), "z": rng.integers(0, 6, 90).astype(float)}
+    if gaps:
+        cols["x"][[0, 1, 40]] = cols["y"][[0, 1, 40]] = np.nan
+        cols["z"][[5, 88]] = np.nan
+    value = {c: [None if np.isnan(v) else float(v) for v in col] for c, col in cols.items()}
+    rows = [(k, i, *(value[c][i] for c in "xyz")) for k in ("a", "b") for i in range(90) if k == "a" or i < 31]
+    rows += [("short", i, float(i), float(-i), 1.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "k string, t int, x double, y double, z double")
+    pairs = [("x", "y"), ("z", "y"), ("x", "z")]
+    got = {(r["k"], r["replicate"], r["pair"]): r for r in bs.block_bootstrap_pairs(df, ["k"], "t", pairs, 9, 3, chunk=4).collect()}
+    assert len(got) == 3 * 9 * 3
+    for u, v in pairs:
+        for r in bs.block_bootstrap(df, ["k"], "t", u, v, 9, 3).collect():
+            have = got[r["k"], r["replicate"], f"{u}~{v}"]
+            assert have["valid"] == r["valid"]
+            assert have["gcc"] == (None if r["gcc"] is None else pytest.approx(r["gcc"], abs=1e-9))
+    assert all(r["gcc"] is None for key, r in got.items() if key[0] == "short")
