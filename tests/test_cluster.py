@@ -44,6 +44,18 @@ def test_ward_equals_greedy_merges(spark, points, height, start):
     assert partition(out.collect()) == naive_ward(points, height)
 
 
+@pytest.mark.parametrize("block", [6, 1024])
+def test_ward_rounds_end_where_one_block_is_left(spark, points, monkeypatch, block):
+    left = []
+    round_of = cl._merge_round
+    monkeypatch.setattr(cl, "BLOCK", block)
+    monkeypatch.setattr(cl, "_merge_round", lambda state, *a: left.append(state.count()) or round_of(state, *a))
+    rows = [*points[5:20], *points[28:31], points[10]]
+    out = cl.ward_clusters(vectors(spark, rows), "id", .7, start=.2)
+    assert partition(out.collect()) == naive_ward(np.array(rows), .7)
+    assert all(n > block for n in left) and bool(left) == (block == 6)
+
+
 @pytest.mark.parametrize("height", [.15, .7])
 def test_ward_certificate(spark, points, height):
     df = vectors(spark, points)
