@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meterlab.operators import association as assoc, cluster as cl
 
@@ -108,6 +109,31 @@ def test_silhouette(spark, points, block_rows):
         assert got[i] == pytest.approx((b - a) / max(a, b))
 
 
+def test_silhouette_sends_points_equally_often(spark):
+    for n in (500, 40000):
+        df = spark.range(n).select("id", F.array(F.rand(1)).alias("point"))
+        sent = cl._tiles(df, "id", 50000).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("__i", "__j").alias("tiles"))
+        assert sent.agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.min("tiles")).first()[:] == (n, 16, 16, 16)
+
+
+def test_silhouette_without_labels_as_before(spark):
+    df = spark.createDataFrame([(1, "a", [0.0]), (2, "a", [1.0]), (3, "b", [5.0]), (4, None, [2.0]), (5, None, [2.5])],
+                               "id long, c string, point array<double>")
+    got = {r["id"]: r["silhouette"] for r in cl.silhouette(df, "id", "c").collect()}
+    assert got == {1: pytest.approx(.8), 2: pytest.approx(.75), 3: 0, 4: None, 5: None}
+
+
+def test_distance_sums_of_close_points_far_out():
+    rng = np.random.default_rng(5)
+    a = np.concatenate([1e6 + rng.normal(scale=1e-4, size=(30, 8)), rng.normal(size=(30, 8)), np.full((4, 8), 1e6)])
+    of = np.repeat([0, 2, 5], [30, 30, 4])
+    gap = np.sqrt(((a[:, None] - a[None]) ** 2).sum(axis=2))
+    want = np.stack([gap[:, of == c].sum(axis=1) for c in (0, 2, 5)], axis=1)
+    for cells in (1, 640, 1 << 20):
+        for got in cl._distance_sums(a, a, of, of, cells):
+            assert got == pytest.approx(want, rel=1e-9, abs=0) and (got[-4:, 2] == 0).all()
+
+
 def test_quantile_autocovariance(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=60)
