@@ -57,6 +57,37 @@ def test_ward_rounds_end_where_one_block_is_left(spark, points, monkeypatch, blo
     assert all(n > block for n in left) and bool(left) == (block == 6)
 
 
+@pytest.mark.parametrize("step", [None, .25])
+def test_nearest_by_leaves_equals_all_heights(step):
+    rng = np.random.default_rng(6)
+    a, b = (rng.normal(size=(n, 3)) for n in (1300, 700))
+    if step:  # ties and copies
+        a, b = (np.round(x / step) * step for x in (a, b))
+    a[:4], b[:2] = [[np.nan] * 3, [np.inf] * 3, [1e200] * 3, [1e8] * 3], [[1e200] * 3, [1e8 + 1] * 3]
+    na, nb = (rng.integers(1, 4, len(x)).astype(float) for x in (a, b))
+    with np.errstate(all="ignore"):
+        full, own = cl._heights(na, a, nb, b), cl._heights(na, a, na, a)
+    np.fill_diagonal(own, np.inf)
+    for limit in (.01, 1e9):
+        for (h2, at), want in zip((*cl._nearest(na, a, nb, b, False, limit), cl._nearest(na, a, na, a, True, limit)[0]), (full, full.T, own)):
+            near = want.min(axis=1) <= limit
+            assert (h2 == np.where(near, want.min(axis=1), np.inf)).all() and (at == np.where(near, want.argmin(axis=1), -1)).all()
+
+
+def test_ward_step_is_dealt_over_tasks_and_needs_few_rounds(spark, monkeypatch):
+    left = []
+    round_of = cl._merge_round
+    monkeypatch.setattr(cl, "BLOCK", 40)
+    monkeypatch.setattr(cl, "_merge_round", lambda state, *a: left.append(state.count()) or round_of(state, *a))
+    pts = np.random.default_rng(3).normal(size=(90, 4))
+    out = cl.ward_clusters(vectors(spark, pts), "id", 3.0)
+    assert partition(out.collect()) == naive_ward(pts, 3.0)
+    assert all(b < a for a, b in zip(left, left[1:]))  # every round merges: none is spent on heights without pairs
+    edges = cl._nearest_partners(spark.range(160).select(F.col("id").alias("cid"), F.lit(1).alias("size"), F.array(F.rand(1)).alias("centre")), 160, 1.0)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # small partitions aren't put together into one task
+
+
 @pytest.mark.parametrize("height", [.15, .7])
 def test_ward_certificate(spark, points, height):
     df = vectors(spark, points)
