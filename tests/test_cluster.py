@@ -205,6 +205,21 @@ def test_cluster_twice_drops_strays(spark):
     assert second.count() + dropped.count() == 13
 
 
+def test_both_passes_are_ward_partitions_with_rounds(spark, monkeypatch):
+    rounds = []
+    round_of = cl._merge_round
+    monkeypatch.setattr(cl, "BLOCK", 12)
+    monkeypatch.setattr(cl, "_merge_round", lambda *a: rounds.append(a) or round_of(*a))
+    rng = np.random.default_rng(9)
+    pts = np.concatenate([rng.normal(c, .05, size=(8, 2)) for c in (0, 1)] + [[[5.0, 5.0]]])
+    first = cl.ward_clusters(vectors(spark, pts), "id", .7)
+    kept = vectors(spark, pts).join(first.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(first, "cluster"), "id", "left_semi")
+    for points, clusters, height in ((vectors(spark, pts), first, .7), (kept, cl.ward_clusters(kept, "id", .2), .2)):
+        got = cl.ward_certificate(points, "id", clusters, height).first().asDict()
+        assert not any(got[c] for c in ("missing", "misnamed", "too_close", "too_loose", "split_copies"))
+    assert 0 < len(rounds) <= 6  # 17 and 16 points; rounds at low heights found nothing to merge
+
+
 def test_household_flags(spark):
     hh = spark.createDataFrame([("a", "Affluent"), ("b", "ACORN-"), ("c", "Adversity"), ("d", None)], "id string, g string")
     removed = spark.createDataFrame([("a", "NA excess")], "id_removed string, motive string")
