@@ -74,6 +74,46 @@ def test_nearest_by_leaves_equals_all_heights(step):
             assert (h2 == np.where(near, want.min(axis=1), np.inf)).all() and (at == np.where(near, want.argmin(axis=1), -1)).all()
 
 
+@pytest.mark.parametrize("step", [None, .25])
+def test_last_task_equals_greedy_merges(monkeypatch, step):
+    leaves = cl._leaves
+    monkeypatch.setattr(cl, "_leaves", lambda points: leaves(points, 8))
+    pts = np.random.default_rng(11).normal(size=(120, 3))
+    if step:
+        pts = np.unique(np.round(pts / step) * step, axis=0)  # ties
+    for height in (.8, 2.0):
+        last = cl._last_places(np.ones(len(pts)), pts.copy(), height)
+        assert {frozenset(np.flatnonzero(last == k).tolist()) for k in set(last)} == set(naive_ward(pts, height))
+
+
+def test_last_task_compares_near_leaves_only(monkeypatch):
+    leaves, meet, compare, every, met = cl._leaves, cl._meet, cl._compare, [], []
+
+    def rounds(na, ca, nb, cb, mine, other, *rest):
+        every.append(sum(map(len, mine)) * sum(map(len, other)))
+        met.append(0)
+        meet(na, ca, nb, cb, mine, other, *rest)
+
+    def pairs(na, ca, nb, cb, rows, cols, *rest):
+        met[-1] += len(rows) * len(cols)
+        compare(na, ca, nb, cb, rows, cols, *rest)
+
+    monkeypatch.setattr(cl, "_leaves", lambda points: leaves(points, 16))
+    monkeypatch.setattr(cl, "_meet", rounds)
+    monkeypatch.setattr(cl, "_compare", pairs)
+    monkeypatch.setattr(cl, "_heights", None)  # no table of all heights
+    pts = np.concatenate([50.0 * c + np.random.default_rng(c).normal(size=(64, 3)) for c in range(16)])
+    cl._last_places(np.ones(len(pts)), pts, 2.0)
+    assert len(every) > 5 and 2 * sum(met[1:]) < sum(every[1:])
+
+
+def test_middling_sizes_need_no_round(spark, monkeypatch):
+    monkeypatch.setattr(cl, "_merge_round", None)
+    df = spark.range(9000).select("id", F.array((F.col("id") % 3) * 10.0 + F.col("id") * 1e-6).alias("point"))
+    got = cl.ward_clusters(df, "id", 5.0).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r[:] for r in got} == {(0, 3000), (1, 3000), (2, 3000)}
+
+
 def test_ward_step_is_dealt_over_tasks_and_needs_few_rounds(spark, monkeypatch):
     left = []
     round_of = cl._merge_round
