@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterlab.operators.order_stats import (
-    attach_stats, exact_fences, exact_quantiles, population_rank, value_positions)
+    attach_stats, exact_fences, exact_quantiles, population_rank, row_numbers, value_positions)
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +86,11 @@ def test_quantiles_of_one_large_close_group(spark, few):
 def test_no_ordered_window_over_values(spark, skewed):
     df = exact_fences(spark_frame(spark, skewed), "v", ["g"])
     assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_row_numbers_need_no_local_table(spark):
+    df = spark.range(100).select(F.pmod(F.col("id") * 37, F.lit(100)).alias("v")).repartition(7)
+    out = row_numbers(df, ["v"], "n")
+    assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()  # rows made in Python workers
+    assert sorted(r[:] for r in out.collect()) == [(i, i) for i in range(100)]
+    assert row_numbers(df.limit(0), ["v"], "n").collect() == []
