@@ -163,6 +163,27 @@ def test_pairs_within(spark, points):
     assert got == want
 
 
+def test_pairs_within_meet_in_blocks_not_as_rows(spark, monkeypatch):
+    monkeypatch.setattr(cl, "BLOCK", 2000)  # six blocks
+    monkeypatch.setattr(cl, "_leaves", lambda points, rows=64, leaves=cl._leaves: leaves(points, rows))
+    pts = np.round(np.random.default_rng(7).normal(scale=.5, size=(1500, 2)), 2)  # crowded, with copies
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(pts)]
+    rows += [(None, [0.0, 0.0]), (3, rows[3][1]), (1500, [0.0]), (1501, [0.01]), (1502, [float("nan"), 0.0]), (1503, [None, 0.0]), (1504, None)]
+    found = cl.pairs_within(spark.createDataFrame(rows, "id long, point array<double>"), "id", .05)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(r) for r in found.collect())
+    gap = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(axis=2))
+    want = [(i, j, gap[i, j]) for i, j in zip(*np.nonzero(gap <= .05)) if i < j]
+    want += [x for x in want if 3 in x[:2]]  # the id that comes twice
+    assert got == sorted([*want, (1500, 1501, pytest.approx(.01))])
+
+
+def test_pairs_of_many_copies_come_a_piece_at_a_time():
+    ids, points = np.arange(2000), np.zeros((2000, 3))
+    sizes = [len(x) for x in cl._near_pairs((ids, points), (ids, points), True, .1, 1000)]
+    assert sum(sizes) == 2000 * 1999 // 2 and max(sizes) <= 1000 + 512 ** 2
+
+
 @pytest.mark.parametrize("block_rows", [7, 1000])
 def test_silhouette(spark, points, block_rows):
     labels = ["a"] * 14 + ["b"] * 14 + ["c", "c", "lonely"] + ["a"] * 4
