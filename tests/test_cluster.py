@@ -128,6 +128,16 @@ def test_ward_step_is_dealt_over_tasks_and_needs_few_rounds(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan  # small partitions aren't put together into one task
 
 
+def test_only_points_of_many_copies_are_multiplied_by_salts(spark, points, monkeypatch):
+    sent = []
+    attach = cl.attach_stats
+    monkeypatch.setattr(cl, "COPIES", 1, raising=False)
+    monkeypatch.setattr(cl, "attach_stats", lambda rows, stats, keys: sent.append(stats.count()) or attach(rows, stats, keys))
+    out = cl.ward_clusters(vectors(spark, points), "id", .7)
+    assert partition(out.collect()) == naive_ward(points, .7)
+    assert sent == [4]  # the driver would hold all others sixteen times
+
+
 @pytest.mark.parametrize("height", [.15, .7])
 def test_ward_certificate(spark, points, height):
     df = vectors(spark, points)
