@@ -74,6 +74,45 @@ def test_nearest_by_leaves_equals_all_heights(step):
             assert (h2 == np.where(near, want.min(axis=1), np.inf)).all() and (at == np.where(near, want.argmin(axis=1), -1)).all()
 
 
+@pytest.mark.parametrize("step", [None, .25])
+def test_sought_partners_equal_all_heights(step):
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=(1500, 3))
+    if step:  # ties and copies
+        c = np.round(c / step) * step
+    c[:5] = [[np.nan] * 3, [np.inf] * 3, [1e200] * 3, [1e8] * 3, [1e8 + 1] * 3]
+    n = rng.integers(1, 40, len(c)).astype(float)
+    seek, among = np.arange(0, 1500, 2), np.flatnonzero(np.arange(1500) % 3)
+    with np.errstate(all="ignore"):
+        want = cl._heights(n[seek], c[seek], n[among], c[among])
+    want[seek[:, None] == among] = np.inf
+    for limit in (.01, 1e9):
+        h2, at = cl._sought(n, c, seek, among, limit, 32)
+        near = want.min(axis=1) <= limit
+        assert (h2 == np.where(near, want.min(axis=1), np.inf)).all() and (at == np.where(near, among[want.argmin(axis=1)], -1)).all()
+
+
+def test_sought_partners_are_looked_for_in_near_leaves(monkeypatch):
+    met = []
+    compare = cl._compare
+    monkeypatch.setattr(cl, "_compare", lambda na, ca, nb, cb, rows, cols, *rest: met.append(len(rows) * len(cols)) or compare(na, ca, nb, cb, rows, cols, *rest))
+    c, every = np.random.default_rng(1).normal(size=(4000, 4)), np.arange(4000)
+    cl._sought(np.ones(4000), c, every, every, 1e9, 64)
+    assert sum(met) < 4000 * 4000 / 8
+
+
+def test_rounds_search_every_stack(spark, monkeypatch):
+    monkeypatch.setattr(cl, "SIDE_ROWS", 8)  # three stacks
+    pts = np.random.default_rng(3).normal(size=(150, 4))
+    state = spark.createDataFrame([(i, 1, [float(v) for v in p]) for i, p in enumerate(pts)], "cid long, size long, centre array<double>")
+    got = {r["cid"]: r["e"] for r in cl._nearest_partners(state, 150, 2.0).collect()}
+    gap = ((pts[:, None] - pts[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(gap, np.inf)
+    for i in range(150):
+        j = int(gap[i].argmin())
+        assert (i in got) == (gap[i, j] <= 4.0) and (i not in got or got[i][:] == (pytest.approx(gap[i, j]), min(i, j), max(i, j)))
+
+
 @pytest.mark.parametrize("step", [None, .25])
 def test_last_task_equals_greedy_merges(monkeypatch, step):
     leaves = cl._leaves
